@@ -1,12 +1,15 @@
-"""The queries of this subpackage and their SQL; operators are imported one by one, errors are not swallowed."""
+"""The queries of this subpackage and their SQL."""
 
 from __future__ import annotations
 
-from semaloom.llm import url_filter
+from semaloom.llm import html_extract, mixing, url_filter
 
 QUERIES = {
+    "op6_pareto_mixing": mixing.op6_pareto_mixing,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op10_html_extraction": html_extract.op10_html_extraction,
 }
 ORACLE_SQL = {
+    "op6_pareto_mixing": mixing.OP6_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
 }
