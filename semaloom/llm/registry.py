@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from semaloom.llm import html_extract, mixing, url_filter
+from semaloom.llm import html_extract, mixing, packing, quality, url_filter
 
 QUERIES = {
+    "op1_quality_gam": quality.op1_quality_gam,
+    "op5_bestfit_packing": packing.op5_bestfit_packing,
     "op6_pareto_mixing": mixing.op6_pareto_mixing,
     "op7_url_filter": url_filter.op7_url_filter,
     "op10_html_extraction": html_extract.op10_html_extraction,
