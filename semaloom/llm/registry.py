@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from semaloom.llm import html_extract, mixing, packing, quality, url_filter
+from semaloom.llm import html_extract, mixing, packing, pii, quality, url_filter
 
 QUERIES = {
     "op1_quality_gam": quality.op1_quality_gam,
     "op5_bestfit_packing": packing.op5_bestfit_packing,
     "op6_pareto_mixing": mixing.op6_pareto_mixing,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_pii_boosting": pii.op8_pii_boosting,
     "op10_html_extraction": html_extract.op10_html_extraction,
 }
 ORACLE_SQL = {
