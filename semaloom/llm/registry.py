@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from semaloom.llm import html_extract, mixing, packing, pii, quality, url_filter
+from semaloom.llm import html_extract, mixing, packing, pii, quality, topk, url_filter
 
 QUERIES = {
     "op1_quality_gam": quality.op1_quality_gam,
+    "op2_balltree_topk": topk.op2_balltree_topk,
     "op5_bestfit_packing": packing.op5_bestfit_packing,
     "op6_pareto_mixing": mixing.op6_pareto_mixing,
     "op7_url_filter": url_filter.op7_url_filter,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_html_extraction": html_extract.op10_html_extraction,
 }
 ORACLE_SQL = {
+    "op2_balltree_topk": topk.OP2_SQL,
     "op6_pareto_mixing": mixing.OP6_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
 }
