@@ -34,7 +34,7 @@ SCALE = 1024
 
 
 def clean(table: DataFrame, key: str, vector: str, scale: int | None) -> DataFrame:
-    """(id, dim, vec) of the rows that take part; vec holds int64 of floor(scale * x), or doubles."""
+    """(id, dim, vec) of the rows that take part; vec holds int64 of floor(scale * x), or (with no scale) doubles of vectors that are not zero."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,7 +48,7 @@ def clean(table: DataFrame, key: str, vector: str, scale: int | None) -> DataFra
                 flat = child.to_numpy(zero_copy_only=False) if child.null_count else np.asarray(child)
                 for i, (key_, ok) in enumerate(zip(part.column(0).to_pylist(), column.is_valid().to_pylist(), strict=True)):
                     v = flat[offsets[i] : offsets[i + 1]]
-                    if ok and key_ is not None and len(v) and np.isfinite(v).all():  # a null component reads as NaN
+                    if ok and key_ is not None and len(v) and np.isfinite(v).all() and (scale or v.any()):  # a null component reads as NaN
                         ids.append(key_)
                         dims.append(len(v))
                         out.append((np.floor(v * scale).astype("<i8") if scale else v.astype("<f8")).tobytes())
