@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from semaloom.llm import html_extract, mixing, neardup, packing, pii, quality, topk, url_filter
+from semaloom.llm import html_extract, jaccard, mixing, neardup, packing, pii, quality, topk, url_filter
 
 QUERIES = {
     "op1_quality_gam": quality.op1_quality_gam,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_pareto_mixing": mixing.op6_pareto_mixing,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_pii_boosting": pii.op8_pii_boosting,
+    "op9_jaccard_join": jaccard.op9_jaccard_join,
     "op10_html_extraction": html_extract.op10_html_extraction,
 }
 ORACLE_SQL = {
