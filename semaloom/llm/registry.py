@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from semaloom.llm import html_extract, jaccard, mixing, neardup, packing, pii, quality, topk, url_filter
+from semaloom.llm import html_extract, jaccard, mixing, neardup, packing, pii, quality, substring, topk, url_filter
 
 QUERIES = {
     "op1_quality_gam": quality.op1_quality_gam,
     "op2_balltree_topk": topk.op2_balltree_topk,
     "op3_hnsw_near_dedup": neardup.op3_hnsw_near_dedup,
+    "op4_fm_substring_dedup": substring.op4_fm_substring_dedup,
     "op5_bestfit_packing": packing.op5_bestfit_packing,
     "op6_pareto_mixing": mixing.op6_pareto_mixing,
     "op7_url_filter": url_filter.op7_url_filter,
