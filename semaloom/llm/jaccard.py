@@ -360,5 +360,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     )
 
 
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, with all columns; of rows with one id one stays."""
+    found = cut(jaccard_components(docs, key, text, n).select(F.col("doc_id").alias(key), "component_id"))
+    gone = cut(found.filter(F.col(key) != F.col("component_id")).select(key).distinct())
+    stays = docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, key, "left_anti")
+    twice = cut(found.groupBy(key).count().filter(F.col("count") > 1).filter(F.col(key).isNotNull()).select(key))
+    if not (n_twice := twice.count()):
+        return stays
+    side = F.broadcast(twice) if n_twice <= MOST_BROADCAST else twice
+    return stays.join(side, key, "left_anti").unionByName(stays.join(side, key, "left_semi").dropDuplicates([key])).select(*docs.columns)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))

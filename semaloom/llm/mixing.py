@@ -59,16 +59,24 @@ def targets(sizes: DataFrame, weights: list[float], cap: float) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: list[float], cap: float = 3.0, seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken) per document; taken / size is its number of copies."""
-    sizes = cut(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
-    goals = targets(sizes, weights, cap)
-    # a source is one row here, so this side is as small as the list of sources; Spark checks its size
-    rows = sizes.join(goals, sizes["source"].eqNullSafe(goals["source"]), "inner").drop(goals["source"])
+def _size(text: str) -> Column:
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _ranked(rows: DataFrame, seed: str) -> DataFrame:
+    """Adds the whole copies, the inclusion probability of one more and the rank of rows with source_size and target."""
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("_whole", F.floor(ratio)).withColumn("_p", ratio - F.floor(ratio)).withColumn("_u", uniform(F.col("doc_id"), seed))
     odds = (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))
-    rows = rows.withColumn("_rank", F.when(F.col("_p") > 0, odds).otherwise(F.lit(0.0)))
+    return rows.withColumn("_rank", F.when(F.col("_p") > 0, odds).otherwise(F.lit(0.0)))
+
+
+def mix(docs: DataFrame, weights: list[float], cap: float = 3.0, seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) per document; taken is copies times size."""
+    sizes = cut(docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), _size(text).alias("size")))
+    goals = targets(sizes, weights, cap)
+    # a source is one row here, so this side is as small as the list of sources; Spark checks its size
+    rows = _ranked(sizes.join(goals, sizes["source"].eqNullSafe(goals["source"]), "inner").drop(goals["source"]), seed)
     rows = rows.withColumn("_b", F.floor(F.col("_rank") / (1 + F.col("_rank")) * BUCKETS).cast("int"))
     sums = rows.groupBy("source", "_b").agg(F.sum("size").alias("_sum"))
     below = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,7 +86,26 @@ def mix(docs: DataFrame, weights: list[float], cap: float = 3.0, seed: str = "mi
     ahead = F.col("_base") + F.coalesce(F.sum("size").over(within), F.lit(0))
     left = F.col("target") - F.col("_whole") * F.col("source_size")
     extra = F.when((F.col("_p") > 0) & (ahead + F.col("size") / 2 <= left), 1).otherwise(0)
-    return rows.select("doc_id", "source", "size", "source_size", "target", ((F.col("_whole") + extra) * F.col("size")).cast("long").alias("taken"))
+    copies = (F.col("_whole") + extra).cast("long")
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: list[float], cap: float = 3.0, seed: str = "mix", key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """All columns of ``docs``, each row as often as the mix takes it.
+
+    What a source takes beyond the whole copies is a prefix of its ranking, so the last place
+    taken, one row per source, is all that documents need to be joined with: no text is shuffled.
+    """
+    chosen = _ranked(cut(mix(docs, weights, cap, seed, key, text, source)), seed)
+    place = lambda: F.struct(F.col("_rank").alias("r"), F.col("doc_id").alias("d"), F.col("size").alias("s"))
+    last = chosen.groupBy("source").agg(
+        F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.max(F.when(F.col("copies") > F.col("_whole"), place())).alias("_last")
+    )
+    names = docs.columns
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(key).alias("doc_id"), F.col(source).alias("_source"), _size(text).alias("size"))
+    rows = _ranked(held.join(last, held["_source"].eqNullSafe(last["source"])), seed)
+    copies = (F.col("_whole") + F.when(F.coalesce(place() <= F.col("_last"), F.lit(False)), 1).otherwise(0)).cast("int")
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies))).select("_row.*")
 
 
 def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

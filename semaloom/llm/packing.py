@@ -145,7 +145,11 @@ def pack(docs: DataFrame, length: int = 2048, vocabulary: str = "byte_bpe_50k",
     return rows.mapInArrow(work, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, ids binary, sequence_id long, offset long")
 
 
-def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def placed(packed: DataFrame) -> DataFrame:
+    """The rows of :func:`pack` with length and CRC-32 in place of the ids."""
     size = (F.octet_length("ids") / 4).cast("long")
     return packed.select("doc_id", "piece", "start", size.alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed(pack(spark.read.parquet(f"{sf_dir}/documents.parquet")))

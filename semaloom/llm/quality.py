@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semaloom.llm import textkit
+from semaloom.llm.sampling import bounded
 from semaloom.runtime import cut
 
 #: Labelled rows that the model is fitted on, at most.
@@ -227,14 +228,15 @@ def remainder(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
 
 
+def _known(labels: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` labels to learn from."""
+    labels = labels.filter(F.col("quality").isin(0, 1) & (remainder() != 1))
+    return bounded(labels.groupBy("doc_id").agg(F.min("quality").alias("quality")), most, "doc_id")
+
+
 def train(featured: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> Gam:
     """Fit on the labelled rows whose remainder is not 1; ``most`` bounds what reaches the driver."""
-    known = (
-        labels.filter(F.col("quality").isin(0, 1) & (remainder() != 1))
-        .groupBy("doc_id").agg(F.min("quality").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    )
-    rows = featured.join(F.broadcast(known), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("features", "quality").limit(most).toArrow()
+    rows = featured.join(F.broadcast(_known(labels, most)), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("features", "quality").limit(most).toArrow()
     x = np.array([np.frombuffer(b, np.float32) for b in rows.column("features").to_pylist()], dtype=np.float32).reshape(-1, len(FEATURES))
     return fit(x, rows.column("quality").to_numpy().astype(np.float64))
 
@@ -250,6 +252,24 @@ def scored(featured: DataFrame, model: Gam) -> DataFrame:
     return featured.mapInArrow(work, f"doc_id {dict(featured.dtypes)['doc_id']}, score double")
 
 
+def sample_features(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """:func:`with_features` of the documents that :func:`train` would use, alone."""
+    return with_features(docs.join(F.broadcast(_known(labels, most).select(F.col("doc_id").alias(key))), key, "left_semi"), key, text)
+
+
+def accepted(docs: DataFrame, model: Gam, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text scores at least ``least``, with all columns; nothing is shuffled."""
+    at = docs.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                yield part.filter(pa.array(model.score(features(part.column(at))) >= least))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     featured = with_features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     scores = scored(featured, train(featured, spark.read.parquet(f"{sf_dir}/labels.parquet")))
