@@ -1,8 +1,69 @@
-"""The corpus pipeline (its stages follow)."""
+"""The corpus pipeline: five stages from raw documents to packed sequences.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of ``documents``. Between stages the rows are written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from semaloom.llm import jaccard, mixing, packing, pii, quality
+from semaloom.runtime import checkpoint_dir, ensure_shipped
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    ensure_shipped(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.accepted(docs, quality.train(quality.sample_features(docs, labels), labels))
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    ensure_shipped(spark)
+    return jaccard.one_of_each(docs)
+
+
+def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become placeholders; n_chars follows the text."""
+    ensure_shipped(spark)
+    rows = pii.redact(docs, pii.learn(docs))
+    return rows.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else rows
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows are dropped or repeated until sources meet their target weights."""
+    ensure_shipped(spark)
+    return mixing.mixed_documents(docs, [1.0, 2.0, 3.0], 3.0)
+
+
+def bestfit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences of 2048 tokens."""
+    ensure_shipped(spark)
+    return packing.placed(packing.pack(docs))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("jaccard_join", jaccard_join),
+    ("pii", pii_redaction),
+    ("mixing", source_mixing),
+    ("bestfit_packing", bestfit_packing),
+]
+
+#: The classifier, the boosted trees, the tokenizer and the packing are not SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; each stage's rows are kept in the shared checkpoint folder for the next."""
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
