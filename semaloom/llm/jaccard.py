@@ -9,9 +9,11 @@ differ in at most k n-grams agree in all but k parts (pigeonhole): of a set's no
 ordered alike everywhere, the first k + 1 are its join keys, and two linked sets share one. Rare
 parts come first, so that passages which many documents share are seldom keys.
 
-Documents with a common key form a run. All of a run are compared with its first member; a member
-that fails there is compared with the rest of the run. So no run is expanded into all its pairs,
-and no link between different components is lost. Candidates pass a second parity sketch, whose
+Documents with a common key form a run. All of a run are compared with its first member, which
+joins most groups. What is left are runs with members of different components: there pairs across
+components are compared, the most similar ones first, until none is left that its sketches allow
+to be linked. So no run is expanded into all its pairs, and no link between different components
+is lost. Candidates pass a second parity sketch, whose
 Hamming distance is a lower bound of the symmetric difference, and then an exact comparison of
 the sets.
 
@@ -41,6 +43,10 @@ COUNT_AT, COMMON, MOST_COMMON = 2_000_000, 8, 200_000
 KEYS_AT, SHARES = 2_000_000, 16
 #: Ids that are broadcast, at most (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
+#: Pairs of two components that are compared in each further round; in the last one all that are left.
+TRIES = (2, 32, None)
+#: Members of a run that each of its members is compared with in a round that is not the last.
+FEW = 64
 
 _EDGES = [1]
 while _EDGES[-1] < 1 << 40:
@@ -309,6 +315,109 @@ class _Verifier:
         return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "ga", "gb").mapInArrow(work, "a long, b long"))
 
 
+def _across(runs: DataFrame, star: DataFrame, joined: DataFrame, classes: DataFrame, tries: int | None) -> DataFrame:
+    """(a, b): pairs of members of a run, not its first one, in different components, whose sketches allow a link.
+
+    A task has the runs of one first member and the sketches of their members. It gives the
+    ``tries`` most similar pairs of each two components, or all of them.
+    """
+    named = star.join(joined.select(F.col("id").alias("b"), "component"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("label"))
+    mixed = cut(named.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("a").alias("first")))
+    lists = runs.filter(F.size("members") > 1).join(mixed, "first").select("first", "members")
+    facts = classes.select(F.col("set").alias("b"), "n", "sketch")
+    info = named.join(mixed.select(F.col("first").alias("a")), "a").join(facts, "b").select(F.col("a").alias("first"), "b", "label", "n", "sketch")
+
+    def work(key: tuple, runs: pa.Table, info: pa.Table) -> pa.Table:
+        out: list[np.ndarray] = []
+        if runs.num_rows and info.num_rows:
+            info = info.sort_by("b")
+            ids, labels, n = (info.column(c).to_numpy() for c in ("b", "label", "n"))
+            sketches = _Sketches(info.column("sketch").to_pylist())
+            todo = _Todo(labels, n)
+            for turn, members in enumerate(runs.column("members").to_pylist()):
+                at = np.searchsorted(ids, np.array(members, np.int64))
+                own = labels[at]
+                values, counts = np.unique(own, return_counts=True)
+                if len(values) == 1:
+                    continue
+                minor = at[own != values[counts.argmax()]]
+                if tries is not None and len(at) > FEW:  # while components are still to be joined, some partners do
+                    at = at[(np.arange(FEW) * len(at) // FEW + turn) % len(at)]
+                for lo in range(0, len(minor), max(1, (1 << 20) // len(at))):
+                    i, j = todo.take(minor[lo : lo + max(1, (1 << 20) // len(at))], at)
+                    apart, most = sketches.apart(i, j), most_apart(n[i] + n[j])
+                    near = apart <= most
+                    out.append(np.stack([i[near], j[near], (apart[near] * 1000000) // np.maximum(most[near], 1)], 1))
+        pairs = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+        if tries is not None and len(pairs):
+            la, lb = labels[pairs[:, 0]], labels[pairs[:, 1]]
+            la, lb = np.minimum(la, lb), np.maximum(la, lb)
+            order = np.lexsort((pairs[:, 2], lb, la))
+            pairs, la, lb = pairs[order], la[order], lb[order]
+            first = np.flatnonzero(np.concatenate(([True], (la[1:] != la[:-1]) | (lb[1:] != lb[:-1]))))
+            pairs = pairs[np.arange(len(pairs)) - np.repeat(first, np.diff(np.append(first, len(pairs)))) < tries]
+        ends = [ids[pairs[:, k]] if len(pairs) else np.zeros(0, np.int64) for k in (0, 1)]
+        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
+
+    return lists.groupBy("first").cogroup(info.groupBy("first")).applyInArrow(work, "a long, b long").distinct()
+
+
+class _Todo:
+    """Pairs of members that are in different components, near in size, and not compared yet."""
+
+    def __init__(self, labels: np.ndarray, n: np.ndarray):
+        self.labels, self.n, self.size = labels, n, len(n)
+        small = self.size <= 8192
+        self.open = self._fits(np.arange(self.size)[:, None], np.arange(self.size)[None, :]) if small else None
+        self.done = np.zeros(0, np.int64)
+
+    def _fits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (self.labels[i] != self.labels[j]) & (DEN * np.minimum(self.n[i], self.n[j]) >= NUM * np.maximum(self.n[i], self.n[j]))
+
+    def take(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.open is not None:
+            a, b = np.nonzero(self.open[x[:, None], y[None, :]])
+            i, j = x[a], y[b]
+            self.open[i, j] = self.open[j, i] = False
+        else:
+            i, j = np.repeat(x, len(y)), np.tile(y, len(x))
+            fits = self._fits(i, j)
+            i, j = i[fits], j[fits]
+        pairs = np.unique(np.minimum(i, j) * self.size + np.maximum(i, j))
+        if self.open is None:
+            pairs = pairs[~np.isin(pairs, self.done)]
+            self.done = np.concatenate([self.done, pairs])
+        return pairs // self.size, pairs % self.size
+
+
+class _Sketches:
+    """Hamming distances of many pairs of parity sketches."""
+
+    def __init__(self, raw: list[bytes]):
+        self.sizes = np.array([len(r) for r in raw])
+        self.at = np.zeros(len(raw), np.int64)
+        self.rows: dict[int, np.ndarray] = {}
+        for size in np.unique(self.sizes):
+            here = np.flatnonzero(self.sizes == size)
+            self.at[here] = np.arange(len(here))
+            self.rows[int(size)] = np.frombuffer(b"".join(raw[i] for i in here), np.uint64).reshape(len(here), -1)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.int64)
+        kind = self.sizes[i] * (1 << 20) + self.sizes[j]
+        for value in np.unique(kind):
+            here = np.flatnonzero(kind == value)
+            a, b = int(value) >> 20, int(value) & ((1 << 20) - 1)
+            step = max(1, (8 << 20) // max(a, b))
+            for lo in range(0, len(here), step):
+                part = here[lo : lo + step]
+                x, y = self.rows[a][self.at[i[part]]], self.rows[b][self.at[j[part]]]
+                width = min(x.shape[1], y.shape[1])
+                x, y = (np.bitwise_xor.reduce(v.reshape(len(v), -1, width), 1) for v in (x, y))
+                out[part] = np.bitwise_count(x ^ y).sum(1)
+        return out
+
+
 def _apart(pairs: DataFrame, joined: DataFrame | None) -> DataFrame:
     """The pairs whose ends are not in one component yet."""
     if joined is None:
@@ -343,13 +452,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     more = cut(_apart(near.join(once, ["a", "b"], "left_anti"), joined))
     links = links.unionByName(check.linked(more))
     joined = components(links)
-    # a member that isn't joined to the first of its run may be linked to others of the run
-    failed = cut(_apart(star, joined))
-    if not failed.isEmpty():
-        within = runs.filter(F.size("members") > 1).join(failed.select(F.col("a").alias("first"), "b"), "first").filter(F.array_contains("members", F.col("b")))
-        others = within.select(F.col("b").alias("x"), F.explode("members").alias("y")).filter("x <> y")
-        rest = others.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        links = links.unionByName(check.linked(check.near(_apart(rest, joined))))
+    # members of a run that are still in different components may be linked all the same
+    seen = star
+    for tries in TRIES:
+        found = cut(_across(runs, star, joined, classes, tries))
+        if found.isEmpty():
+            break
+        rest = cut(found.join(seen, ["a", "b"], "left_anti"))
+        if rest.isEmpty():
+            continue
+        links = links.unionByName(check.linked(rest))
+        seen = seen.unionByName(rest)
         joined = components(links)
     groups = classes.select("set").join(joined.select(F.col("id").alias("set"), "component"), "set", "left").select("set", F.coalesce("component", "set").alias("component"))
     least = classes.join(groups, "set").groupBy("component").agg(F.min("doc_id").alias("component_id"))
