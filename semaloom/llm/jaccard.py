@@ -1,7 +1,8 @@
 """N-gram Jaccard join by parity sketches.
 
 A document is the set of its word n-grams, each a 64-bit hash. Documents with equal sets are one
-class. Sets are joined per size band, 4/3 wide, so that partners lie in one band or the next.
+class. Sets are joined per size band; bands are 8 wide, and a set near the lower edge of its band
+also joins in the band below, so that partners meet in the band of the smaller one.
 
 In a band the hash space is cut into parts. A part's sketch is the XOR of the bit patterns of the
 n-grams that fall into it. An n-gram that only one of two sets has changes one part, so sets that
@@ -24,6 +25,7 @@ are judged by their texts; an empty table gives an empty result; extra columns a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,9 +40,9 @@ from semaloom.runtime import cut
 #: The linking rule is DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
 #: N-grams held for counting at a time; a count that makes one common there; common ones kept in all.
-COUNT_AT, COMMON, MOST_COMMON = 2_000_000, 8, 200_000
+COUNT_AT, COMMON, MOST_COMMON = 2_000_000, 3, 200_000
 #: Keys held before they are dealt out; shares of the key space per shuffle partition.
-KEYS_AT, SHARES = 2_000_000, 16
+KEYS_AT, SHARES = 1_000_000, 16
 #: Ids that are broadcast, at most (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Pairs of two components that are compared in each further round; in the last one all that are left.
@@ -48,9 +50,9 @@ TRIES = (2, 32, None)
 #: Members of a run that each of its members is compared with in a round that is not the last.
 FEW = 64
 
-_EDGES = [1]
-while _EDGES[-1] < 1 << 40:
-    _EDGES.append(max(_EDGES[-1] + 1, -(-4 * _EDGES[-1] // 3)))
+_EDGES = [8**i for i in range(15)]
+#: Size classes grow by this factor, up to 255; linked sets are at most so many classes apart.
+_CLASS, _CLASSES_APART = 1.08, 4
 _EDGES_ARRAY = np.array(_EDGES)
 
 
@@ -114,7 +116,7 @@ def join_keys(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
     for tag in (band, band - 1):
         if tag < 0:
             continue
-        partner = n * DEN // NUM if tag == band else _EDGES[band] - 1
+        partner = n * DEN // NUM if tag == band else _EDGES[band] - 1  # the largest that meets it here
         if tag < band and DEN * partner < NUM * n:
             continue  # nothing in the band below is large enough
         k = _limit(n + partner)
@@ -189,26 +191,31 @@ def _common(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _runs(docs: DataFrame, n: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(first, members) of every run: the sets that share a key, equal member lists once per task."""
+    """(first, members, close) of every run: the sets that share a key, equal member lists once per task.
+
+    The first ``close`` members are near enough in size to be linked with the run's first one.
+    """
     spark = docs.sparkSession
     shares = SHARES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     shared = spark.sparkContext.broadcast(common)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts = shared.value
-        held: list[tuple[np.ndarray, int]] = []
+        held: list[tuple[np.ndarray, int, int]] = []
         size, seen = 0, set()
 
         def deal() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            keys = np.concatenate([k for k, _ in held])
-            sets = np.repeat(np.array([s for _, s in held], np.int64), [len(k) for k, _ in held])
+            keys = np.concatenate([k for k, _, _ in held])
+            counts = [len(k) for k, _, _ in held]
+            sets = np.repeat(np.array([s for _, s, _ in held], np.int64), counts)
+            kinds = np.repeat(np.array([c for _, _, c in held], np.uint8), counts)
             share = ((keys >> np.uint64(40)) % np.uint64(shares)).astype(np.int32)
             order = np.argsort(share, kind="stable")
-            share, low, sets = share[order], (keys[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), sets[order]
+            share, low, sets, kinds = share[order], (keys[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), sets[order], kinds[order]
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(share)) + 1, [len(share)]))
-            rows = [low[a:b].tobytes() + sets[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            rows = [low[a:b].tobytes() + sets[a:b].tobytes() + kinds[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             held.clear()
             for at in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_arrays([pa.array(share[cuts[:-1]][at : at + 256], pa.int32()), pa.array(rows[at : at + 256], pa.binary())], names=["share", "keys"])
@@ -228,7 +235,7 @@ def _runs(docs: DataFrame, n: int, common: tuple[np.ndarray, np.ndarray]) -> Dat
                     at = np.minimum(np.searchsorted(values, grams), len(values) - 1)
                     often = np.where(values[at] == grams, counts[at], 0)
                 keys = join_keys(grams, often)
-                held.append((keys, name))
+                held.append((keys, name, min(255, int(math.log(len(grams)) / math.log(_CLASS)))))
                 size += len(keys)
                 if size >= KEYS_AT:
                     yield from deal()
@@ -236,32 +243,37 @@ def _runs(docs: DataFrame, n: int, common: tuple[np.ndarray, np.ndarray]) -> Dat
         yield from deal()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sets = [], []
+        keys, sets, kinds = [], [], []
         for batch in batches:
             for share, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                count = len(raw) // 12
+                count = len(raw) // 13
                 keys.append(np.frombuffer(raw, np.uint32, count).astype(np.uint64) | np.uint64(share << 32))
                 sets.append(np.frombuffer(raw, np.int64, count, 4 * count))
+                kinds.append(np.frombuffer(raw, np.uint8, count, 12 * count))
         if not keys:
             return
-        keys, sets = np.concatenate(keys), np.concatenate(sets)
-        order = np.argsort(keys, kind="stable")
-        keys, sets = keys[order], sets[order]
-        inner = np.concatenate(([False], keys[1:] == keys[:-1]))
+        keys, sets, kinds = np.concatenate(keys), np.concatenate(sets), np.concatenate(kinds).astype(np.int64)
+        order = np.lexsort((kinds, keys))
+        keys, sets, kinds = keys[order], sets[order], kinds[order]
+        # sizes that no chain of partners bridges part a run
+        inner = np.concatenate(([False], (keys[1:] == keys[:-1]) & (kinds[1:] - kinds[:-1] <= _CLASSES_APART)))
         start = np.flatnonzero(~inner)
         ends = np.append(start[1:], len(keys))
-        lists: dict[bytes, None] = {}
+        lists: dict[bytes, int] = {}
         for a, b in zip(start[ends - start > 1], ends[ends - start > 1], strict=True):
-            members = np.unique(sets[a:b])
+            members, at = np.unique(sets[a:b], return_index=True)
             if len(members) > 1:
-                lists[members.tobytes()] = None
-        rows = list(lists)
+                size = kinds[a:b][at]
+                far = np.abs(size - size[0]) > _CLASSES_APART
+                lists[members[np.argsort(far, kind="stable")].tobytes()] = len(members) - int(far.sum()) - 1
+        rows = list(lists.items())
         for at in range(0, len(rows), 1024):
-            part = [np.frombuffer(r, np.int64) for r in rows[at : at + 1024]]
-            yield pa.RecordBatch.from_arrays([pa.array([int(p[0]) for p in part], pa.int64()), pa.array([p[1:] for p in part], pa.list_(pa.int64()))], names=["first", "members"])
+            part = [(np.frombuffer(r, np.int64), close) for r, close in rows[at : at + 1024]]
+            columns = [pa.array([int(p[0]) for p, _ in part], pa.int64()), pa.array([p[1:] for p, _ in part], pa.list_(pa.int64())), pa.array([c for _, c in part], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["first", "members", "close"])
 
     dealt = docs.select("text").mapInArrow(emit, "share int, keys binary").repartition(F.col("share"))
-    return cut(dealt.mapInArrow(gather, "first long, members array<long>"))
+    return cut(dealt.mapInArrow(gather, "first long, members array<long>, close int"))
 
 
 class _Verifier:
@@ -315,13 +327,13 @@ class _Verifier:
         return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "ga", "gb").mapInArrow(work, "a long, b long"))
 
 
-def _across(runs: DataFrame, star: DataFrame, joined: DataFrame, classes: DataFrame, tries: int | None) -> DataFrame:
+def _across(runs: DataFrame, met: DataFrame, joined: DataFrame, classes: DataFrame, tries: int | None) -> DataFrame:
     """(a, b): pairs of members of a run, not its first one, in different components, whose sketches allow a link.
 
     A task has the runs of one first member and the sketches of their members. It gives the
     ``tries`` most similar pairs of each two components, or all of them.
     """
-    named = star.join(joined.select(F.col("id").alias("b"), "component"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("label"))
+    named = met.join(joined.select(F.col("id").alias("b"), "component"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("label"))
     mixed = cut(named.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("a").alias("first")))
     lists = runs.filter(F.size("members") > 1).join(mixed, "first").select("first", "members")
     facts = classes.select(F.col("set").alias("b"), "n", "sketch")
@@ -367,8 +379,8 @@ class _Todo:
 
     def __init__(self, labels: np.ndarray, n: np.ndarray):
         self.labels, self.n, self.size = labels, n, len(n)
-        small = self.size <= 8192
-        self.open = self._fits(np.arange(self.size)[:, None], np.arange(self.size)[None, :]) if small else None
+        every = np.arange(self.size)
+        self.open = np.stack([self._fits(np.full(1, i), every) for i in every]) if 0 < self.size <= 4096 else None
         self.done = np.zeros(0, np.int64)
 
     def _fits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -439,11 +451,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             members = batch.column(1)
-            first = np.repeat(batch.column(0).to_numpy(), np.diff(members.offsets.to_numpy()))
-            pairs = np.unique(np.stack([first, members.flatten().to_numpy()], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    star = cut(runs.mapInArrow(stars, "a long, b long").distinct())
+            sizes = np.diff(members.offsets.to_numpy())
+            first = np.repeat(batch.column(0).to_numpy(), sizes)
+            place = np.arange(len(first)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            close = place < np.repeat(batch.column(2).to_numpy(), sizes)
+            pairs = np.unique(np.stack([first, members.flatten().to_numpy(), close], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)], names=["a", "b", "close"])
+
+    met = cut(runs.mapInArrow(stars, "a long, b long, close boolean").groupBy("a", "b").agg(F.max("close").alias("close")))
+    star = met.filter("close").select("a", "b")
     near = check.near(star)
     # each set is compared with its smallest first member; then with others, as far as still apart
     once = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
@@ -455,7 +471,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # members of a run that are still in different components may be linked all the same
     seen = star
     for tries in TRIES:
-        found = cut(_across(runs, star, joined, classes, tries))
+        found = cut(_across(runs, met, joined, classes, tries))
         if found.isEmpty():
             break
         rest = cut(found.join(seen, ["a", "b"], "left_anti"))
