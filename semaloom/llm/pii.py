@@ -17,7 +17,7 @@ kept by ``redact``.
 
 from __future__ import annotations
 
-import hashlib
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -30,9 +30,9 @@ from semaloom.llm.sampling import bounded
 from semaloom.runtime import cut
 
 KINDS = ("email", "ip", "card", "phone")
-#: Candidates that the trees are fitted on, at most, and the precision that a threshold must reach.
-MOST_CANDIDATES, PRECISION = 20_000, 0.98
-TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
+#: Candidates that the trees are fitted on, at most; the precision that a threshold must reach, and the least threshold.
+MOST_CANDIDATES, PRECISION, FLOOR = 20_000, 0.98, 0.3
+TREES, DEPTH, RATE, BINS = 150, 3, 0.2, 32
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -122,6 +122,30 @@ def candidates(text: str, good: list[Span]) -> list[Span]:
     return sorted(found)
 
 
+class Cover:
+    """Where spans lie; says whether a span overlaps any of them, in logarithmic time."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1]):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect.bisect_right(self.ends, a)
+        return k < len(self.starts) and self.starts[k] < b
+
+    def add(self, a: int, b: int) -> None:
+        """A span that meets none."""
+        k = bisect.bisect_right(self.starts, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+
+
 _HINTS = re.compile(r"mail|phone|tel|call|fax|mobile|card|visa|credit|ip|address|contact", re.I)
 
 
@@ -243,10 +267,10 @@ def learn(docs: DataFrame, text: str = "text", most: int = MOST_CANDIDATES) -> B
                 if not body:
                     continue
                 good, failed = base_spans(body)
-                true = set(good)
+                true, here, there = set(good), Cover(good), Cover(failed)
                 for kind, a, b in candidates(body, good):
-                    state = 1 if (kind, a, b) in true else 2 if any(x < b and a < y for _, x, y in failed) else 0
-                    if state == 0 and any(x < b and a < y for _, x, y in good):
+                    state = 1 if (kind, a, b) in true else 2 if there.meets(a, b) else 0
+                    if state == 0 and here.meets(a, b):
                         continue
                     before, after = _sides(body, a, b)
                     for out, v in ((kinds, kind), (spans, body[a : min(b, a + 400)]), (befores, before), (afters, after), (states, state)):
@@ -282,7 +306,9 @@ def learn(docs: DataFrame, text: str = "text", most: int = MOST_CANDIDATES) -> B
         order = np.argsort(-s, kind="stable")
         precise = np.cumsum(t[order]) / np.arange(1, len(s) + 1) >= PRECISION if len(s) else np.zeros(0, bool)
         if precise.any():
-            model.thresholds[k] = max(0.5, float(s[order][np.flatnonzero(precise)[-1]]))
+            last = int(np.flatnonzero(precise)[-1])
+            below = float(s[order][last + 1]) if last + 1 < len(s) else 0.0
+            model.thresholds[k] = max(FLOOR, (float(s[order][last]) + below) / 2)  # half way to what must be rejected
     return model
 
 
@@ -294,8 +320,9 @@ def spans_of(texts: list[str | None], model: Boosted) -> list[tuple[list[Span],
         out.append((good, list(good)))
         if not body:
             continue
+        here = Cover(good)
         for kind, a, b in candidates(body, good):
-            if not any(x < b and a < y for _, x, y in good):
+            if not here.meets(a, b):
                 asked.append((i, kind, a, b))
                 rows.append(describe(kind, body[a : min(b, a + 400)], *_sides(body, a, b)))
     if rows:
@@ -303,9 +330,12 @@ def spans_of(texts: list[str | None], model: Boosted) -> list[tuple[list[Span],
         scores = model.score(x)
         passed = scores >= model.thresholds[x[:, 0].astype(int)]
         taken: dict[int, list[Span]] = {}
+        covers: dict[int, Cover] = {}
         for k in sorted(np.flatnonzero(passed), key=lambda k: (-round(float(scores[k]), 6), asked[k][2] - asked[k][3], asked[k])):
             i, kind, a, b = asked[k]
-            if not any(p < b and a < q for _, p, q in taken.get(i, ())):
+            cover = covers.setdefault(i, Cover([]))
+            if not cover.meets(a, b):
+                cover.add(a, b)
                 taken.setdefault(i, []).append((kind, a, b))
         for i, more in taken.items():
             out[i] = (out[i][0], sorted(out[i][1] + more))
