@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 _MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*+|[^<>]*+)(?:>|(?=<)|\Z)""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _RAW = frozenset("script style noscript template textarea svg iframe object canvas math select title".split())
+#: Of these, the ones that an absent end tag lets run to the end of the page.
+_ENDLESS = frozenset("script style textarea iframe title".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -35,10 +37,12 @@ _BLOCK = frozenset(
 #: A start tag of the key ends an open element of the value.
 _ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _BOILER_TAG = {"nav": 9.0, "menu": 9.0, "footer": 9.0, "aside": 9.0, "form": 9.0, "button": 9.0, "dialog": 9.0, "label": 6.0, "fieldset": 9.0, "head": 30.0, "header": 9.0}
+_INSERT_WORD = frozenset(
+    "ad ads adsbygoogle advert adverts advertisement advertising comment comments discussion disqus promo promoted promotion related replies reply respond responses sponsor sponsored teaser".split()
+)
 _BOILER_WORD = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments cookie cookies consent copyright dialog disqus disclaimer footer form gdpr header "
-    "hidden login masthead menu menubar modal nav navbar navigation navigator newsletter notice notices notification alert pagination pager popup popular promo promoted promotion recommended related "
-    "replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar trending widget widgets".split()
+    "alert banner breadcrumb breadcrumbs byline consent cookie cookies copyright dialog disclaimer footer form gdpr header hidden login masthead menu menubar modal nav navbar navigation navigator newsletter "
+    "notice notices notification pagination pager popular popup rail recommended search share sharing sidebar sidenav signup skip social subnav subscribe subscription tags toolbar topbar topnav trending widget widgets".split()
 )
 _BOILER_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 _CONTENT_WORD = frozenset("article articlebody body content entry main post story text".split())
@@ -48,17 +52,28 @@ NEXT_TO, SAME_CONTAINER = 0.6, 0.8
 
 
 class _Frame:
-    __slots__ = ("boiler", "content", "key", "tag")
+    """An open element: evidence for boilerplate by structure and by layout names, evidence for content, container."""
+
+    __slots__ = ("boiler", "content", "key", "layout", "tag")
+
+    def __init__(self, tag: str, boiler: float, layout: float, content: float, key: int):
+        self.tag, self.boiler, self.layout, self.content, self.key = tag, boiler, layout, content, key
 
-    def __init__(self, tag: str, boiler: float, content: float, key: int):
-        self.tag, self.boiler, self.content, self.key = tag, boiler, content, key
+    @property
+    def against(self) -> float:
+        return max(self.boiler, self.layout)
 
 
-def _judge(tag: str, attrs: str, up: _Frame) -> tuple[float, float]:
-    """Evidence for boilerplate and content of an element, with that of its ancestors."""
-    boiler, content = up.boiler, up.content
-    if tag == "article" or tag == "main":
-        content = max(content, ARTICLE)
+def _judge(tag: str, attrs: str, up: _Frame) -> tuple[float, float, float]:
+    """Evidence for boilerplate (structure, layout names) and content of an element, with that of its ancestors.
+
+    Names of layouts ("with-sidebar") may stand on wrappers of a whole page, so an article or main
+    element within ends what they say; names of comments, adverts and the like hold inside too.
+    """
+    boiler, layout, content = up.boiler, up.layout, up.content
+    whole = tag == "article" or tag == "main"
+    if whole:
+        content, layout = max(content, ARTICLE), 0.0
     elif tag == "header":
         boiler = max(boiler, 0.0 if content >= ARTICLE else _BOILER_TAG[tag])
     else:
@@ -76,17 +91,22 @@ def _judge(tag: str, attrs: str, up: _Frame) -> tuple[float, float]:
                 boiler = max(boiler, 30.0)
         if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs):
             boiler = max(boiler, 30.0)
-        if tag not in ("html", "body", "article", "main") and words & _BOILER_WORD and not (tag == "header" and content >= ARTICLE):
-            boiler = max(boiler, BOILER_CLASS)
-        elif words & _CONTENT_WORD:
-            content = max(content, CONTENT_CLASS)
-    return boiler, content
+        if "header" in words and (words & _CONTENT_WORD or content >= ARTICLE):
+            words.discard("header")  # an article's own head
+        if tag not in ("html", "body"):
+            if words & _INSERT_WORD:
+                boiler = max(boiler, BOILER_CLASS)
+            elif words & _BOILER_WORD and not whole:
+                layout = max(layout, BOILER_CLASS)
+            elif words & _CONTENT_WORD:
+                content = max(content, CONTENT_CLASS)
+    return boiler, layout, content
 
 
 def blocks_of(page: str) -> list[tuple[str, float, float, int, float, bool]]:
     """(text, boilerplate evidence, content evidence, container, share of text in links, heading) in page order."""
     found: list[tuple[str, float, float, int, float, bool]] = []
-    stack = [_Frame("", 0.0, 0.0, 0)]
+    stack = [_Frame("", 0.0, 0.0, 0.0, 0)]
     keys, links, heading = 0, 0, False
     text: list[str] = []
     linked = 0
@@ -97,7 +117,7 @@ def blocks_of(page: str) -> list[tuple[str, float, float, int, float, bool]]:
             whole = " ".join(_html.unescape("".join(text)).split())
             if whole:
                 top = stack[-1]
-                found.append((whole, top.boiler, top.content, top.key, min(1.0, linked / len(whole)), heading))
+                found.append((whole, top.against, top.content, top.key, min(1.0, linked / len(whole)), heading))
             text.clear()
         linked = 0
 
@@ -121,6 +141,8 @@ def blocks_of(page: str) -> list[tuple[str, float, float, int, float, bool]]:
                 if m[0].endswith("/>") and tag in ("svg", "math"):
                     continue
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
+                if not end and tag not in _ENDLESS:
+                    continue
                 at = end.end() if end else n
                 if tag == "textarea" or tag == "title":
                     flush()
@@ -142,19 +164,20 @@ def blocks_of(page: str) -> list[tuple[str, float, float, int, float, bool]]:
                 continue
             elif tag not in _BOILER_TAG and not ("=" in m[3] and ("class" in m[3] or "id" in m[3] or "hidden" in m[3] or "style" in m[3])):
                 continue
-            boiler, content = _judge(tag, m[3], stack[-1])
-            if tag not in _BLOCK and boiler == stack[-1].boiler:
+            boiler, layout, content = _judge(tag, m[3], stack[-1])
+            same = boiler == stack[-1].boiler and layout == stack[-1].layout
+            if tag not in _BLOCK and same:
                 continue
             if tag not in _BLOCK:
                 flush()
             # a paragraph, item or heading belongs to the container around it
             own = tag in ("p", "li", "td", "th", "tr", "br", "dd", "dt") or len(tag) == 2 and tag[0] == "h"
-            if not own or boiler != stack[-1].boiler:
+            if not own or not same:
                 keys += 1
                 key = keys
             else:
                 key = stack[-1].key
-            stack.append(_Frame(tag, boiler, content, key))
+            stack.append(_Frame(tag, boiler, layout, content, key))
         else:
             if tag == "a":
                 links = 0

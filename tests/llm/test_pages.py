@@ -24,6 +24,9 @@ CASES = [
     (f"<article><header><h1>Head</h1></header><p>{LONG}</p><div class=ad>{LONG}</div></article>", f"Head {LONG}"),
     (f"<p>{LONG}</p><p>1 < 2 &copy; &unknown; &#65;&#x42;</p>", f"{LONG} 1 < 2 © &unknown; AB"),
     (f"<div role=navigation>{LONG}</div><p>{LONG}</p>", LONG),
+    (f"<div class='layout with-sidebar'><article class='post'><div class=entry-header><h1>Head</h1></div><p>{LONG}</p></article></div>", f"Head {LONG}"),
+    (f"<div class=comments><article class=comment><p>{LONG}</p></article></div><article><p>{LONG} <select><option>no</select></p></article>", LONG),
+    (f"<div class=post><h2>Head</h2><svg><p>{LONG}</p><div class='share social'><a href=x>Share</a></div><p>{LONG}</p></div>", f"Head {LONG} {LONG}"),
 ]
 
 
