@@ -40,11 +40,11 @@ def _docs(spark: SparkSession, d: str, abbrev: bool = False) -> DataFrame:
 _BUILT: dict[tuple[str, str, str], corpus.Corpus] = {}
 
 
-def _corpus(spark: SparkSession, d: str, dim: int = DIM) -> corpus.Corpus:
-    """The documents' corpus, built once per application and input."""
-    key = (spark.sparkContext.applicationId, d, str(dim))
+def _corpus(spark: SparkSession, d: str, dim: int = DIM, **settings: object) -> corpus.Corpus:
+    """The documents' corpus, built once per application, input and settings."""
+    config = EngineConfig.of(dim, abbrev=False, **settings)
+    key = (spark.sparkContext.applicationId, d, config.to_json())
     if key not in _BUILT:
-        config = EngineConfig.of(dim, abbrev=False)
         builder = corpus.CorpusBuilder(spark, config).add_texts(table(spark, d, "documents").select("doc_id", "text"))
         _BUILT[key] = builder.finalize(DigestVectors(dim))
     return _BUILT[key]
@@ -362,6 +362,16 @@ def search_tfidf(spark, d):
     return _result(search.search(_corpus(spark, d), _asked(spark, d), TOP, Mode.TFIDF))
 
 
+@query(f"WITH {sql.enriched(DIM)}, {sql.queries()}, {sql.QUERY_VECTORS}, {sql.SCORES}" + sql.ranked("score", TOP))
+def search_enriched(spark, d):
+    return _result(search.search(_corpus(spark, d, ri=True), _asked(spark, d), TOP, Mode.BRUTE))
+
+
+@query(f"WITH {sql.sparse(DIM, 4)}, {sql.queries()}, {sql.QUERY_VECTORS}, {sql.SCORES}" + sql.ranked("score", TOP))
+def search_sparse(spark, d):
+    return _result(search.search(_corpus(spark, d, sparse_nnz=4), _asked(spark, d), TOP, Mode.BRUTE))
+
+
 @query(f"""{_CHAIN}, {sql.KEYWORD}, fast AS (SELECT query_id, doc_id FROM score JOIN cand USING (query_id, doc_id) JOIN qm USING (query_id) WHERE inv > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score.score DESC, doc_id) <= 10),
 brute AS (SELECT query_id, doc_id FROM score QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10)
 SELECT query_id, count(f.doc_id)::BIGINT AS overlap FROM brute b LEFT JOIN fast f USING (query_id, doc_id) GROUP BY query_id""")
@@ -442,6 +452,19 @@ def rri_pass2(spark, d):
     return second.select("token", F.posexplode("q").alias("d", "q")).withColumn("q", F.col("q").cast("long"))
 
 
+@query()
+def simulated_attention(spark, d):
+    v = graph.attend(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 64, neighbours=8, rounds=2)
+    return v.select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query()
+def describe_functions(spark, d):
+    docs = _small(spark, d)
+    c = corpus.CorpusBuilder(spark, EngineConfig.of(DIM, abbrev=False)).add_tokens(docs).finalize(DigestVectors(DIM))
+    return scores.described(c, docs).select("doc_id", F.size("tfidf").alias("terms"), F.round(V.norm(F.col("ri")), 6).alias("size"))
+
+
 @query()
 def chunk_source(spark, d):
     from semaloom.sources.files import chunked

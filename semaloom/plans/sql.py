@@ -39,6 +39,32 @@ dq AS MATERIALIZED (SELECT doc_id, d, round_even(round(127 * (CASE WHEN sqrt(sum
 dm AS (SELECT doc_id, CASE WHEN sum(q * q) > 0 THEN 1.0::DOUBLE / sqrt(sum(q * q)::DOUBLE) ELSE 0 END AS inv FROM dq GROUP BY doc_id)"""
 
 
+def enriched(dim: int) -> str:
+    """The same with token vectors enriched by two passes over the documents' co-occurrences."""
+    plain = vectors(dim)
+    start = plain.index("enr AS MATERIALIZED")
+    end = plain.index("dsum AS")
+    passes = f"""
+pos AS (SELECT doc_id, unnest(tokens) AS t, unnest(range(len(tokens))) AS i FROM tok),
+w AS MATERIALIZED (SELECT a.t, b.t AS n, sum(1.0::DOUBLE / abs(a.i - b.i)) AS w FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i - 5 AND a.i + 5 AND a.i <> b.i GROUP BY ALL),
+near AS (SELECT w.t AS token, d, sum(w * v) AS x FROM w JOIN src ON src.token = w.n GROUP BY w.t, d),
+p1 AS MATERIALIZED (SELECT token, d, round_even(round(127 * y / sqrt(sum(y * y) OVER (PARTITION BY token)), 9), 0)::DOUBLE AS q FROM (SELECT src.token, d, v + coalesce(x, 0) AS y FROM src LEFT JOIN near USING (token, d))),
+acc AS (SELECT w.t AS token, d, round_even(round(greatest(-127, least(127, 127 * sum(w * q / 127.0::DOUBLE))), 9), 0)::DOUBLE AS x FROM w JOIN p1 ON p1.token = w.n GROUP BY w.t, d),
+blend AS (SELECT p1.token, d, 0.7::DOUBLE * q + 0.3::DOUBLE * coalesce(x, 0) AS y FROM p1 LEFT JOIN acc USING (token, d)),
+enr AS MATERIALIZED (SELECT token, d, round_even(round(127 * y / sqrt(sum(y * y) OVER (PARTITION BY token)), 9), 0)::DOUBLE AS q FROM blend),
+"""
+    return plain[:start] + passes + plain[end:]
+
+
+def sparse(dim: int, keep: int) -> str:
+    """The same with the ``keep`` largest components of token and document vectors; documents are made of dense token vectors."""
+    plain = vectors(dim).replace("enr AS MATERIALIZED", "dense AS MATERIALIZED").replace("JOIN enr USING", "JOIN dense USING")
+    plain = plain.replace("dq AS MATERIALIZED", "full_dq AS MATERIALIZED")
+    thin = lambda rows, key: f"(SELECT {key}, d, CASE WHEN row_number() OVER (PARTITION BY {key} ORDER BY abs(q) DESC, d) <= {keep} THEN q ELSE 0 END AS q FROM {rows})"
+    end = plain.index("dm AS (")
+    return plain[:end] + f"dq AS MATERIALIZED {thin('full_dq', 'doc_id')},\nenr AS MATERIALIZED {thin('dense', 'token')},\n" + plain[end:]
+
+
 def queries(abbrev: bool = False) -> str:
     """qtok (query_id, tokens), qterm (query_id, token, n, idf) of the benchmark's texts."""
     return f"""
