@@ -43,6 +43,8 @@ NUM, DEN = 75, 100
 COUNT_AT, COMMON, MOST_COMMON = 2_000_000, 3, 200_000
 #: Keys held before they are dealt out; shares of the key space per shuffle partition.
 KEYS_AT, SHARES = 1_000_000, 16
+#: Keys that one task gathers: the more, the more runs of a pair it sees and gives only once.
+GATHERED = 1_500_000
 #: Ids that are broadcast, at most (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 #: Pairs of two components that are compared in each further round; in the last one all that are left.
@@ -190,13 +192,13 @@ def _common(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], counts[order]
 
 
-def _runs(docs: DataFrame, n: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(first, members, close) of every run: the sets that share a key, equal member lists once per task.
+def _runs(docs: DataFrame, n: int, common: tuple[np.ndarray, np.ndarray], tasks: int) -> DataFrame:
+    """(first, members, close) of every run: the sets that share a key, equal member lists once per task of ``tasks``.
 
     The first ``close`` members are near enough in size to be linked with the run's first one.
     """
     spark = docs.sparkSession
-    shares = SHARES * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = SHARES * tasks
     shared = spark.sparkContext.broadcast(common)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +274,7 @@ def _runs(docs: DataFrame, n: int, common: tuple[np.ndarray, np.ndarray]) -> Dat
             columns = [pa.array([int(p[0]) for p, _ in part], pa.int64()), pa.array([p[1:] for p, _ in part], pa.list_(pa.int64())), pa.array([c for _, c in part], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["first", "members", "close"])
 
-    dealt = docs.select("text").mapInArrow(emit, "share int, keys binary").repartition(F.col("share"))
+    dealt = docs.select("text").mapInArrow(emit, "share int, keys binary").repartition(tasks, F.col("share"))
     return cut(dealt.mapInArrow(gather, "first long, members array<long>, close int"))
 
 
@@ -445,7 +447,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     feats = described.filter("sketch is not null")
     known = docs.filter("doc_id is not null")
     classes = cut(feats.filter("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    runs = _runs(known, n, _common(described))
+    # a set has about two keys for each five of its n-grams
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    runs = _runs(known, n, _common(described), max(4, int(0.4 * total) // GATHERED))
     check = _Verifier(known, classes, n)
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
