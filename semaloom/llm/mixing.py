@@ -26,6 +26,8 @@ from semaloom.runtime import cut
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ranks of a source are dealt over so many buckets.
 BUCKETS = 1024
+#: Sources that are broadcast with what documents need of them, at most (about 100 bytes each).
+MOST_BROADCAST = 100_000
 
 
 def uniform(doc_id: Column, seed: str) -> Column:
@@ -98,9 +100,10 @@ def mixed_documents(docs: DataFrame, weights: list[float], cap: float = 3.0, see
     """
     chosen = _ranked(cut(mix(docs, weights, cap, seed, key, text, source)), seed)
     place = lambda: F.struct(F.col("_rank").alias("r"), F.col("doc_id").alias("d"), F.col("size").alias("s"))
-    last = chosen.groupBy("source").agg(
+    last = cut(chosen.groupBy("source").agg(
         F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.max(F.when(F.col("copies") > F.col("_whole"), place())).alias("_last")
-    )
+    ))
+    last = F.broadcast(last) if last.count() <= MOST_BROADCAST else last
     names = docs.columns
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(key).alias("doc_id"), F.col(source).alias("_source"), _size(text).alias("size"))
     rows = _ranked(held.join(last, held["_source"].eqNullSafe(last["source"])), seed)
