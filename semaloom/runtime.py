@@ -17,6 +17,7 @@ def ensure_shipped(spark: SparkSession) -> None:
     Python functions are pickled by reference, so executors must be able to import
     ``semaloom`` even when the driver was started from another folder.
     """
+    bound_batches(spark)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -32,6 +33,17 @@ def ensure_shipped(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+#: Rows of an Arrow batch where the session says nothing else: texts may be long, and a batch is held whole.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small unless the session has its own setting."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a local one only where it is unset."""
     sc = spark.sparkContext
