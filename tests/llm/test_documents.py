@@ -60,7 +60,7 @@ def test_jaccard_empty_and_null_ids(spark, no_docs):
 
 def test_jaccard_group_around_the_threshold(spark):
     """A group whose members are linked in chains, and outsiders that share a passage with it."""
-    from conftest import mutate, prose
+    from llm_samples import mutate, prose
     import random
 
     rng = random.Random(3)
@@ -243,7 +243,7 @@ def junk(rng, kind, n=40):
 def test_quality(spark):
     import random
 
-    from conftest import prose
+    from llm_samples import prose
 
     rng = random.Random(2)
     rows, labels = [], []
