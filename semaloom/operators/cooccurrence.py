@@ -23,10 +23,10 @@ def weights(docs: DataFrame, half: int = HALF_WINDOW) -> DataFrame:
     return pairs.filter("t is not null and n is not null").groupBy("t", "n").agg(F.sum("w").alias("w"))
 
 
-def neighbour_sum(w: DataFrame, vectors: DataFrame, column: str) -> DataFrame:
+def neighbour_sum(w: DataFrame, vectors: DataFrame, column: str, dim: int) -> DataFrame:
     """(token, vec): sum over neighbours n of w(token, n) x vector(n)."""
     rows = w.join(vectors.select(F.col("token").alias("n"), column), "n")
-    return dense.weighted_sum(rows, "t", column, "w").withColumnRenamed("t", "token")
+    return dense.weighted_sum(rows, "t", column, "w", dim).withColumnRenamed("t", "token")
 
 
 def _with(tokens: DataFrame, sums: DataFrame, column: str, dim: int) -> DataFrame:
@@ -50,7 +50,7 @@ def _halves(rows: DataFrame, dim: int, work) -> DataFrame:
 def pass1(w: DataFrame, sources: DataFrame, dim: int) -> DataFrame:
     """(token, q): source vector plus weighted neighbours, made unit and quantized."""
     own = sources.select("token", F.col("vec").alias("_own"))
-    return _halves(_with(own, neighbour_sum(w, sources, "vec"), "_own", dim), dim, lambda a, b: dense.to_int8(dense.unit(a + b)))
+    return _halves(_with(own, neighbour_sum(w, sources, "vec", dim), "_own", dim), dim, lambda a, b: dense.to_int8(dense.unit(a + b)))
 
 
 def pass2(w: DataFrame, first: DataFrame, dim: int) -> DataFrame:
@@ -61,7 +61,7 @@ def pass2(w: DataFrame, first: DataFrame, dim: int) -> DataFrame:
     def blend(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return dense.to_int8(dense.unit(PASS1_SHARE * a + PASS2_SHARE * dense.to_int8(b).astype(np.float64)))
 
-    return _halves(_with(own, neighbour_sum(w, unit, "u"), "_own", dim), dim, blend)
+    return _halves(_with(own, neighbour_sum(w, unit, "u", dim), "_own", dim), dim, blend)
 
 
 def enrich(docs: DataFrame, sources: DataFrame, dim: int) -> DataFrame:

@@ -172,7 +172,7 @@ def doc_vectors(postings: DataFrame, vocab: DataFrame, enriched: DataFrame, ids:
     dim = config.dim
     weight = F.col("tf") * (F.col("idf") if config.idf else F.lit(1.0)) / 127.0
     rows = postings.join(vocab.select("token", "idf"), "token").join(enriched, "token").withColumn("_w", weight)
-    sums = dense.weighted_sum(rows, "doc_id", "q", "_w")
+    sums = dense.weighted_sum(rows, "doc_id", "q", "_w", dim)
     whole = ids.join(sums, "doc_id", "left").select("doc_id", F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("vec"))
     units = cut(dense.map_vectors(whole, "doc_id", "vec", dim, dense.unit, "double"))
     mean = dense.mean_vector(units, "vec") if n >= 2 else None

@@ -44,13 +44,46 @@ def map_vectors(df: DataFrame, key: str, vector: str, dim: int, work, out: str)
     return df.select(key, vector).mapInArrow(run, f"`{key}` {dict(df.dtypes)[key]}, `{vector}` array<{out}>")
 
 
-def weighted_sum(rows: DataFrame, key: str, vector: str, weight: str) -> DataFrame:
-    """(key, vec): sum of weight x vector per key, by partial sums in the JVM."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
+#: Up to so many dimensions sums are taken in the JVM, one object per row; above it in Arrow batches.
+JVM_DIM = 32
+
+
+def weighted_sum(rows: DataFrame, key: str, vector: str, weight: str, dim: int) -> DataFrame:
+    """(key, vec): sum of weight x vector per key.
 
-    scaled = rows.select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double") * F.col(weight))).alias("_v"))
-    return scaled.groupBy(key).agg(vector_to_array(Summarizer.sum(F.col("_v"))).alias("vec"))
+    Short vectors are summed by partial aggregation in the JVM. Long ones are dealt out and sorted by
+    key, and each task adds up runs of equal keys batch by batch, so it holds one batch and one sum.
+    """
+    if dim <= JVM_DIM:
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+        from pyspark.ml.stat import Summarizer
+
+        scaled = rows.select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double") * F.col(weight))).alias("_v"))
+        return scaled.groupBy(key).agg(vector_to_array(Summarizer.sum(F.col("_v"))).alias("vec"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried = None, np.zeros(dim)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(0).dictionary_encode()
+            index = codes.indices.to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
+            x = matrix(batch.column(1), dim) * batch.column(2).to_numpy()[:, None]
+            sums = np.add.reduceat(x, starts)
+            keys = codes.dictionary.take(pa.array(index[starts])).to_pylist()
+            if last is not None and keys[0] == last[0]:
+                sums[0] += carried
+            elif last is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([last[0]], batch.schema.field(0).type), lists(carried[None])], names=[key, "vec"])
+            if len(keys) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:-1], batch.schema.field(0).type), lists(sums[:-1])], names=[key, "vec"])
+            last, carried, kind = (keys[-1],), sums[-1].copy(), batch.schema.field(0).type
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last[0]], kind), lists(carried[None])], names=[key, "vec"])
+
+    dealt = rows.select(key, vector, F.col(weight).cast("double").alias("_w")).repartition(F.col(key)).sortWithinPartitions(key)
+    return dealt.mapInArrow(work, f"`{key}` {dict(rows.dtypes)[key]}, vec array<double>")
 
 
 def mean_vector(rows: DataFrame, vector: str) -> np.ndarray | None:

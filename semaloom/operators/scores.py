@@ -78,5 +78,5 @@ def described(corpus, docs: DataFrame) -> DataFrame:
     ids = first_seen(docs)
     at = docs.select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
     weights = at.join(ids, "token").join(corpus.vocab, "token").groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("token_id").cast("int"), "idf")))).alias("tfidf"))
-    sums = dense.weighted_sum(at.join(corpus.enriched, "token").withColumn("_w", F.col("n") / 127.0), "doc_id", "q", "_w")
+    sums = dense.weighted_sum(at.join(corpus.enriched, "token").withColumn("_w", F.col("n") / 127.0), "doc_id", "q", "_w", corpus.config.dim)
     return weights.join(sums.withColumnRenamed("vec", "ri"), "doc_id")

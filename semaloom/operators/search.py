@@ -41,7 +41,7 @@ def query_vectors(corpus: Corpus, queries: DataFrame) -> DataFrame:
     dim, mean = corpus.config.dim, corpus.doc_mean
     weight = F.col("n") * (F.col("idf") if corpus.config.idf else F.lit(1.0)) / 127.0
     rows = _terms(corpus, queries).join(corpus.enriched, "token").withColumn("_w", weight)
-    sums = dense.weighted_sum(rows, "query_id", "q", "_w")
+    sums = dense.weighted_sum(rows, "query_id", "q", "_w", dim)
     whole = queries.filter(F.size("tokens") > 0).select("query_id").join(sums, "query_id", "left").select("query_id", F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("vec"))
 
     def work(x: np.ndarray) -> np.ndarray:

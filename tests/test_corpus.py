@@ -109,6 +109,20 @@ def test_against_numpy(spark):
     assert np.allclose(c.doc_mean, mean) and all((got[i] == want[i]).all() for i in got)
 
 
+def test_long_vectors_are_summed_alike(spark):
+    from semaloom.operators import dense
+
+    rng = np.random.default_rng(0)
+    rows = [(f"k{i % 37}", [float(x) for x in rng.normal(size=40)], float(rng.normal())) for i in range(900)]
+    table = spark.createDataFrame(rows, "k string, v array<double>, w double").repartition(5)
+    want = {}
+    for k, v, w in rows:
+        want[k] = want.get(k, 0) + w * np.array(v)
+    got = {r[0]: np.array(r[1]) for r in dense.weighted_sum(table, "k", "v", "w", 40).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    assert dense.weighted_sum(table.limit(0), "k", "v", "w", 40).count() == 0
+
+
 def test_ri_and_sparse(spark):
     docs = [t.split() for t in DEMO]
     rich = build(spark, docs, ri=True)
