@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 
 from semaloom.llm import textkit
 from semaloom.llm.components import components
-from semaloom.runtime import cut
+from semaloom.runtime import cut, lean
 
 #: The linking rule is DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
 #: N-grams held for counting at a time; a count that makes one common there; common ones kept in all.
 COUNT_AT, COMMON, MOST_COMMON = 2_000_000, 3, 200_000
 #: Keys held before they are dealt out; shares of the key space per shuffle partition.
-KEYS_AT, SHARES = 1_000_000, 16
+KEYS_AT, SHARES = 500_000, 16
 #: Keys that one task gathers: the more, the more runs of a pair it sees and gives only once.
 GATHERED = 1_500_000
 #: Ids that are broadcast, at most (8 bytes each); more are joined by a shuffle.
@@ -146,11 +146,15 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
 
         def count() -> Iterator[pa.RecordBatch]:
             if held:
-                values, counts = np.unique(np.concatenate(held), return_counts=True)
-                often = counts >= COMMON
-                packed = np.concatenate([values[often], counts[often].astype(np.uint64)]).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], names=names)
+                every = np.concatenate(held)
                 held.clear()
+                every.sort()
+                # an n-gram that is met COMMON times is equal to the one COMMON - 1 places on
+                first = np.flatnonzero(every[: 1 - COMMON] == every[COMMON - 1 :])
+                values = np.unique(every[first])
+                counts = (np.searchsorted(every, values, side="right") - np.searchsorted(every, values)).astype(np.uint64)
+                packed = np.concatenate([values, counts]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], names=names)
 
         for batch in batches:
             id_type = batch.schema.field(0).type
@@ -169,7 +173,7 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
                     size = 0
         yield from count()
 
-    return cut(docs.mapInArrow(work, f"doc_id {kind}, n long, set long, sketch binary, common binary"))
+    return cut(docs.mapInArrow(lean(work), f"doc_id {kind}, n long, set long, sketch binary, common binary"))
 
 
 def _common(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +185,7 @@ def _common(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 values, counts = np.frombuffer(raw, np.int64).reshape(2, -1)
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["gram", "count"])
 
-    rows = described.filter("common is not null").select("common").mapInArrow(unpack, "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count"))
+    rows = described.filter("common is not null").select("common").mapInArrow(lean(unpack), "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count"))
     top = cut(rows)
     if (size := top.count()) > MOST_COMMON:  # a threshold that about so many pass, then those
         least = top.approxQuantile("count", [1 - MOST_COMMON / size], 0.001)[0]
@@ -254,9 +258,14 @@ def _runs(docs: DataFrame, n: int, common: tuple[np.ndarray, np.ndarray], tasks:
                 kinds.append(np.frombuffer(raw, np.uint8, count, 12 * count))
         if not keys:
             return
-        keys, sets, kinds = np.concatenate(keys), np.concatenate(sets), np.concatenate(kinds).astype(np.int64)
+        keys = np.concatenate(keys)
+        sets = np.concatenate(sets)
+        kinds = np.concatenate(kinds).astype(np.int16)
         order = np.lexsort((kinds, keys))
-        keys, sets, kinds = keys[order], sets[order], kinds[order]
+        keys = keys[order]
+        sets = sets[order]
+        kinds = kinds[order]
+        del order
         # sizes that no chain of partners bridges part a run
         inner = np.concatenate(([False], (keys[1:] == keys[:-1]) & (kinds[1:] - kinds[:-1] <= _CLASSES_APART)))
         start = np.flatnonzero(~inner)
@@ -265,7 +274,7 @@ def _runs(docs: DataFrame, n: int, common: tuple[np.ndarray, np.ndarray], tasks:
         for a, b in zip(start[ends - start > 1], ends[ends - start > 1], strict=True):
             members, at = np.unique(sets[a:b], return_index=True)
             if len(members) > 1:
-                size = kinds[a:b][at]
+                size = kinds[a:b][at].astype(np.int64)
                 far = np.abs(size - size[0]) > _CLASSES_APART
                 lists[members[np.argsort(far, kind="stable")].tobytes()] = len(members) - int(far.sum()) - 1
         rows = list(lists.items())
@@ -274,8 +283,8 @@ def _runs(docs: DataFrame, n: int, common: tuple[np.ndarray, np.ndarray], tasks:
             columns = [pa.array([int(p[0]) for p, _ in part], pa.int64()), pa.array([p[1:] for p, _ in part], pa.list_(pa.int64())), pa.array([c for _, c in part], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["first", "members", "close"])
 
-    dealt = docs.select("text").mapInArrow(emit, "share int, keys binary").repartition(tasks, F.col("share"))
-    return cut(dealt.mapInArrow(gather, "first long, members array<long>, close int"))
+    dealt = docs.select("text").mapInArrow(lean(emit), "share int, keys binary").repartition(tasks, F.col("share"))
+    return cut(dealt.mapInArrow(lean(gather), "first long, members array<long>, close int"))
 
 
 class _Verifier:
@@ -295,7 +304,7 @@ class _Verifier:
 
         one = self.classes.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         two = self.classes.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(work, "a long, b long"))
+        return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(work), "a long, b long"))
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (from :meth:`near`) that the linking rule accepts."""
@@ -312,7 +321,7 @@ class _Verifier:
                     found = list(gram_sets(batch.column(0).slice(at, 512), n))
                     yield pa.RecordBatch.from_arrays([pa.array([digest(g) for g in found], pa.int64()), pa.array([g.tobytes() for g in found], pa.binary())], names=["set", "grams"])
 
-        whole = cut(texts.mapInArrow(sets, "set long, grams binary").dropDuplicates(["set"]))
+        whole = cut(texts.mapInArrow(lean(sets), "set long, grams binary").dropDuplicates(["set"]))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -326,7 +335,7 @@ class _Verifier:
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
         one, two = whole.select(F.col("set").alias("a"), F.col("grams").alias("ga")), whole.select(F.col("set").alias("b"), F.col("grams").alias("gb"))
-        return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "ga", "gb").mapInArrow(work, "a long, b long"))
+        return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "ga", "gb").mapInArrow(lean(work), "a long, b long"))
 
 
 def _across(runs: DataFrame, met: DataFrame, joined: DataFrame, classes: DataFrame, tries: int | None) -> DataFrame:
@@ -462,7 +471,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
             pairs = np.unique(np.stack([first, members.flatten().to_numpy(), close], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)], names=["a", "b", "close"])
 
-    met = cut(runs.mapInArrow(stars, "a long, b long, close boolean").groupBy("a", "b").agg(F.max("close").alias("close")))
+    met = cut(runs.mapInArrow(lean(stars), "a long, b long, close boolean").groupBy("a", "b").agg(F.max("close").alias("close")))
     star = met.filter("close").select("a", "b")
     near = check.near(star)
     # each set is compared with its smallest first member; then with others, as far as still apart

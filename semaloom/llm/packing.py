@@ -23,6 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from semaloom.runtime import lean
+
 #: Open sequences of a partition, and the pieces and bytes of a buffer.
 OPEN, PIECES, BYTES = 4096, 8192, 24 << 20
 _ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
@@ -142,7 +144,7 @@ def pack(docs: DataFrame, length: int = 2048, vocabulary: str = "byte_bpe_50k",
             yield from flush()
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(work, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, ids binary, sequence_id long, offset long")
+    return rows.mapInArrow(lean(work), f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, ids binary, sequence_id long, offset long")
 
 
 def placed(packed: DataFrame) -> DataFrame:

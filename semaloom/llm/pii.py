@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semaloom.llm.sampling import bounded
-from semaloom.runtime import cut
+from semaloom.runtime import cut, lean
 
 KINDS = ("email", "ip", "card", "phone")
 #: Candidates that the trees are fitted on, at most; the precision that a threshold must reach, and the least threshold.
@@ -281,7 +281,7 @@ def learn(docs: DataFrame, text: str = "text", most: int = MOST_CANDIDATES) -> B
                     names=["kind", "span", "before", "after", "state"],
                 )
 
-    found = cut(docs.select(F.col(text).cast("string")).mapInArrow(work, "kind int, span string, before string, after string, state int"))
+    found = cut(docs.select(F.col(text).cast("string")).mapInArrow(lean(work), "kind int, span string, before string, after string, state int"))
     rows = bounded(found.filter("state < 2"), most, "span", "before", "after", "kind", "state").collect()
     x: list[list[float]] = []
     y: list[float] = []
@@ -356,7 +356,7 @@ def detect(docs: DataFrame, model: Boosted, key: str = "doc_id", text: str = "te
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     spans = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return rows.mapInArrow(work, f"doc_id {dict(rows.dtypes)['doc_id']}, base {spans}, spans {spans}")
+    return rows.mapInArrow(lean(work), f"doc_id {dict(rows.dtypes)['doc_id']}, base {spans}, spans {spans}")
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -381,7 +381,7 @@ def redact(docs: DataFrame, model: Boosted, text: str = "text") -> DataFrame:
                 new = [t if not t else redacted(t, s) for t, (_, s) in zip(texts, spans_of(texts, model), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], pa.array(new, part.column(at).type), *part.columns[at + 1 :]], schema=part.schema)
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(lean(work), docs.schema)
 
 
 def _is(kind: str):

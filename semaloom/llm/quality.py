@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from semaloom.llm import textkit
 from semaloom.llm.sampling import bounded
-from semaloom.runtime import cut
+from semaloom.runtime import cut, lean
 
 #: Labelled rows that the model is fitted on, at most.
 MOST_ROWS = 20_000
@@ -221,7 +221,7 @@ def with_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in features(part.column(1))], pa.binary())], names=["doc_id", "features"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return cut(rows.mapInArrow(work, f"doc_id {dict(rows.dtypes)['doc_id']}, features binary"))
+    return cut(rows.mapInArrow(lean(work), f"doc_id {dict(rows.dtypes)['doc_id']}, features binary"))
 
 
 def remainder(doc_id: str = "doc_id"):
@@ -249,7 +249,7 @@ def scored(featured: DataFrame, model: Gam) -> DataFrame:
             x = np.array([np.frombuffer(b, np.float32) for b in batch.column(1).to_pylist()], dtype=np.float32).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x), pa.float64())], names=["doc_id", "score"])
 
-    return featured.mapInArrow(work, f"doc_id {dict(featured.dtypes)['doc_id']}, score double")
+    return featured.mapInArrow(lean(work), f"doc_id {dict(featured.dtypes)['doc_id']}, score double")
 
 
 def sample_features(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -267,7 +267,7 @@ def accepted(docs: DataFrame, model: Gam, least: float = 0.5, text: str = "text"
                 part = batch.slice(first, 1024)
                 yield part.filter(pa.array(model.score(features(part.column(at))) >= least))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(lean(work), docs.schema)
 
 
 def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:

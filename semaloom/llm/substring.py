@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semaloom.llm import textkit
-from semaloom.runtime import cut
+from semaloom.runtime import cut, lean
 
 WINDOW, GRAM = 50, 8
 #: Words of the corpus per shard; classes that make an anchor hot; bytes of a word in a segment.
@@ -214,7 +214,7 @@ def _described(docs: DataFrame) -> DataFrame:
                     size = 0
         yield from deal()
 
-    return cut(docs.mapInArrow(work, f"doc_id {kind}, n_words long, class long, sha string, share int, anchors binary"))
+    return cut(docs.mapInArrow(lean(work), f"doc_id {kind}, n_words long, class long, sha string, share int, anchors binary"))
 
 
 def _shared(dealt: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def _shared(dealt: DataFrame) -> DataFrame:
                 names=["class", "shared", "hot"],
             )
 
-    return dealt.repartition(F.col("share")).select("anchors").mapInArrow(work, "class long, shared binary, hot binary")
+    return dealt.repartition(F.col("share")).select("anchors").mapInArrow(lean(work), "class long, shared binary, hot binary")
 
 
 def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, shards: int) -> DataFrame:
         yield from deal()
 
     rows = _rows_of(docs, wanted).select("doc_id", "text", "class", "shared", "hot")
-    return rows.mapInArrow(work, "shard int, words binary, lengths binary, holders binary, sizes binary")
+    return rows.mapInArrow(lean(work), "shard int, words binary, lengths binary, holders binary, sizes binary")
 
 
 def repeated(shard: pa.Table) -> pa.Table:
@@ -392,7 +392,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "class", "removed", "after", "kept"])
 
-    judged = _rows_of(known, found).select("doc_id", "text", "class", "ranges").mapInArrow(keep, "doc_id long, class long, removed long, after string, kept string")
+    judged = _rows_of(known, found).select("doc_id", "text", "class", "ranges").mapInArrow(lean(keep), "doc_id long, class long, removed long, after string, kept string")
     judged = cut(judged.dropDuplicates(["doc_id", "class"]))
     copy = F.col("doc_id") > F.col("least")
     rows = feats.join(classes.select("class", F.col("doc_id").alias("least")), "class", "left").join(judged, ["doc_id", "class"], "left")
