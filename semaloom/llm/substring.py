@@ -364,7 +364,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     described = _described(docs)
     feats = described.filter("sha is not null").select("doc_id", "n_words", "class", "sha")
-    classes = feats.filter(f"doc_id is not null and n_words >= {WINDOW}").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    # kept, so that the join below has plain shuffles on both sides and a class of very many copies can be split
+    classes = cut(feats.filter(f"doc_id is not null and n_words >= {WINDOW}").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
     total = feats.agg(F.sum("n_words")).first()[0] or 0
     shards = max(8, total // SHARD_WORDS)
     shared = _shared(described.filter("share is not null").select("share", "anchors"))
