@@ -37,7 +37,7 @@ def test_stages_and_run(spark, sf_dir):
 def test_stage_columns(spark, sf_dir):
     from pyspark.sql import functions as F
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("extra", F.when(F.lit(True), F.lit(1)))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("extra", F.when(F.col("doc_id") >= 0, F.lit(1)))
     nulls = spark.createDataFrame([(None, None, None, None, None, None), (10**6, None, "en", None, None, 2), (10**6, None, "en", None, None, 2)], docs.schema)
     rows = docs.unionByName(nulls)
     for name, stage in corpus_pipeline.STAGES[:-1]:
