@@ -147,6 +147,9 @@ ABBREVIATIONS = {
     "ext": "extension",
 }
 
+#: Characters that tokens lose, of scripts that are common: a table look-up is several times as fast as the pattern that takes the rest.
+DROPPED = "".join(chr(c) for low, high in ((0x01, 0x08), (0x0B, 0x0C), (0x0E, 0x1F), (0x7F, 0x24F), (0x370, 0x4FF), (0x2010, 0x2027)) for c in range(low, high + 1))
+
 
 def tokenize(text: Column, abbrev: bool = True, most: int = MAX_TOKENS) -> Column:
     """Tokens of a text: parted at delimiters and camel breaks, lower case, 2 to 255 ASCII letters and digits.
@@ -156,7 +159,7 @@ def tokenize(text: Column, abbrev: bool = True, most: int = MAX_TOKENS) -> Colum
     there is room. The text ends at a NUL. Null has no tokens.
     """
     whole = F.regexp_replace(F.substring_index(F.coalesce(text, F.lit("")), "\u0000", 1), CAMEL, " ")
-    plain = F.lower(F.regexp_replace(F.translate(whole, DELIMITERS, " " * len(DELIMITERS)), "[^A-Za-z0-9 ]+", ""))
+    plain = F.lower(F.regexp_replace(F.translate(whole, DELIMITERS + DROPPED, " " * len(DELIMITERS)), "[^A-Za-z0-9 ]+", ""))
     fits = lambda t: F.length(t).between(MIN_TOKEN_LENGTH, MAX_TOKEN_LENGTH)
     tokens = F.slice(F.filter(F.split(plain, " "), fits), 1, most)
     return expand(tokens, most) if abbrev else tokens

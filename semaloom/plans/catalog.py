@@ -13,7 +13,7 @@ from semaloom.functions import vectors as V
 from semaloom.functions.text import proximity, tokenize
 from semaloom.operators import cooccurrence, corpus, dense, graph, metrics, scores, search
 from semaloom.plans import sql
-from semaloom.runtime import cut, table
+from semaloom.runtime import cut, spread, table
 from semaloom.sources.token_vectors import DigestVectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,9 +32,13 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id")
+
+
 def _docs(spark: SparkSession, d: str, abbrev: bool = False) -> DataFrame:
     """(doc_id, tokens) of the accepted documents."""
-    return corpus.accepted(table(spark, d, "documents").select("doc_id", tokenize(F.col("text"), abbrev).alias("tokens")))
+    return corpus.accepted(_texts(spark, d).select("doc_id", tokenize(F.col("text"), abbrev).alias("tokens")))
 
 
 _BUILT: dict[tuple[str, str, str], corpus.Corpus] = {}
@@ -45,7 +49,7 @@ def _corpus(spark: SparkSession, d: str, dim: int = DIM, **settings: object) ->
     config = EngineConfig.of(dim, abbrev=False, **settings)
     key = (spark.sparkContext.applicationId, d, config.to_json())
     if key not in _BUILT:
-        builder = corpus.CorpusBuilder(spark, config).add_texts(table(spark, d, "documents").select("doc_id", "text"))
+        builder = corpus.CorpusBuilder(spark, config).add_texts(_texts(spark, d))
         _BUILT[key] = builder.finalize(DigestVectors(dim))
     return _BUILT[key]
 
@@ -64,7 +68,7 @@ def _text(values: Column) -> Column:
 @query(f"SELECT doc_id, len(t)::BIGINT AS n, array_to_string(t, ' ') AS tokens FROM (SELECT doc_id, {sql.tokens('text', False)} AS t FROM documents)")
 def tokenize_documents(spark, d):
     t = tokenize(F.col("text"), abbrev=False)
-    return table(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("tokens"))
+    return _texts(spark, d).select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.array_join("t", " ").alias("tokens"))
 
 
 @query(f"SELECT page_id, len(t)::BIGINT AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT page_id, {sql.tokens('html', False)} AS t FROM pages)")
@@ -82,7 +86,7 @@ def abbrev_expand(spark, d):
 @query(f"SELECT lang, count(*)::BIGINT AS docs, min(len(t))::BIGINT AS least, max(len(t))::BIGINT AS most, sum(len(t))::BIGINT AS total FROM (SELECT lang, {sql.tokens('text', False)} AS t FROM documents) GROUP BY lang")
 def token_stats(spark, d):
     n = F.size(tokenize(F.col("text"), abbrev=False)).cast("long")
-    return table(spark, d, "documents").select("lang", n.alias("n")).groupBy("lang").agg(F.count("*").alias("docs"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("total"))
+    return _texts(spark, d).select("lang", n.alias("n")).groupBy("lang").agg(F.count("*").alias("docs"), F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("total"))
 
 
 @query(f"SELECT lang, count(*)::BIGINT AS docs FROM (SELECT lang, {sql.tokens('text', False)} AS t FROM documents) WHERE len(t) BETWEEN 1 AND 512 GROUP BY lang")
