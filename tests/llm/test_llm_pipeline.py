@@ -14,7 +14,7 @@ def test_stages_and_run(spark, sf_dir):
     featured = quality.with_features(docs)
     scores = {r["doc_id"]: r["score"] for r in quality.scored(featured, quality.train(featured, labels)).collect()}
     rows = [r for r in docs.collect() if scores[r["doc_id"]] >= 0.5]
-    from test_documents import brute_components
+    from test_llm_documents import brute_components
 
     groups = brute_components([(r["doc_id"], r["text"]) for r in rows])
     rows = [r for r in rows if groups[r["doc_id"]][1] == r["doc_id"]]
