@@ -482,11 +482,13 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = links.unionByName(check.linked(more))
     joined = components(links)
     # members of a run that are still in different components may be linked all the same
-    seen = star
+    seen, idle = star, False
     for tries in TRIES:
+        if idle and tries is not None:
+            continue  # the same sampled partners again
         found = cut(_across(runs, met, joined, classes, tries))
-        if found.isEmpty():
-            break
+        if idle := found.isEmpty():
+            continue  # only the last round, which compares all, shows that none is left
         rest = cut(found.join(seen, ["a", "b"], "left_anti"))
         if rest.isEmpty():
             continue

@@ -58,6 +58,26 @@ def test_jaccard_empty_and_null_ids(spark, no_docs):
     assert sorted(map(repr, kept)) == ["Row(doc_id=2, text='a b c d e f')", "Row(doc_id=None, text='a b c d e f')"]
 
 
+def test_jaccard_one_link_in_a_hot_run(spark, monkeypatch):
+    """One run of hundreds of unlinked sets and a linked pair that the sampled rounds do not compare."""
+    text = lambda i, last="": " ".join([*(f"u{i}x{k}" for k in range(40)), last])
+    texts = {i: text(i) for i in range(500)}
+    names = lambda: {i: jaccard.digest(g) for i, g in zip(texts, jaccard.gram_sets(pa.array(list(texts.values())), 5))}
+    sampled = {k * 500 // jaccard.FEW for k in range(jaccard.FEW)}
+
+    def outside(i, j):
+        texts[1000] = text(i, f"end{j}")
+        run = sorted(names().values())
+        return all(run.index(names()[d]) - 1 not in sampled | {-1} for d in (i, 1000))
+
+    pair = next((i, 1000) for i in range(500) for j in range(3) if outside(i, j))
+    run = sorted(names().values())
+    monkeypatch.setattr(jaccard, "_runs", lambda *_: spark.createDataFrame([(run[0], run[1:], len(run) - 1)], "first long, members array<long>, close int"))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {i: pair[0] if i in pair else i for i in texts}
+
+
 def test_jaccard_group_around_the_threshold(spark):
     """A group whose members are linked in chains, and outsiders that share a passage with it."""
     from llm_samples import mutate, prose
