@@ -246,37 +246,60 @@ def _unit(raw: list[bytes], dim: int) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def links_between(graph: SmallWorld, base: np.ndarray, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs with a cosine of at least ``least``, with beams widened until the audit passes."""
+def _audited(x: np.ndarray, queries: np.ndarray, least: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, links): up to AUDIT random queries that brute force shows to have links, and which nodes those are.
+
+    Queries are drawn until so many are found or all are looked at; a query that is itself a node (``same``) is not its own link.
+    """
+    order = np.random.default_rng(len(queries)).permutation(len(queries))
+    sample, truth, count = [np.zeros(0, np.int64)], [np.zeros((0, len(x)), bool)], 0
+    for at in range(0, len(order), AUDIT):
+        part = order[at : at + AUDIT]
+        links = (queries[part] @ x.T) >= least
+        if same:
+            links[np.arange(len(part)), part] = False
+        some = np.flatnonzero(links.any(1))[: AUDIT - count]
+        sample.append(part[some])
+        truth.append(links[some])
+        count += len(some)
+        if count >= AUDIT:
+            break
+    return np.concatenate(sample), np.concatenate(truth)
+
+
+def _passes(truth: np.ndarray, sample: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the pairs (a, b) have enough of the audited links: of all, and of a query's own on average, so that large groups do not hide small ones."""
+    if not len(sample):
+        return True
+    row = np.full(int(max(sample.max(), a.max(initial=0))) + 1, -1)
+    row[sample] = np.arange(len(sample))
+    got = np.zeros_like(truth)
+    at = row[a]
+    got[at[at >= 0], b[at >= 0]] = True
+    hits, links = (got & truth).sum(1), truth.sum(1)
+    return bool(hits.sum() >= RECALL * links.sum() and (hits / links).mean() >= RECALL)
+
+
+def links_between(graph: SmallWorld, base: np.ndarray, queries: np.ndarray, least: float, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs with a cosine of at least ``least``, with beams widened until the audit passes; ``same``: the queries are the nodes."""
     single = queries.astype(np.float32)
     block = int(max(32, min(256, (32 << 20) // max(1, len(base)))))
-    sample = np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)
-    truth = (single[sample] @ graph.x.T) >= least
+    sample, truth = _audited(graph.x, single, least, same)
     width = BEAM
-    while True:
-        if truth.any():
-            a, b = graph.near(single[sample], width, least - SLACK)
-            got = np.zeros_like(truth)
-            got[a, b] = True
-            if (got & truth).sum() < RECALL * truth.sum() and width < len(base):
-                width *= 2
-                continue
-        break
+    while len(sample):
+        a, b = graph.near(single[sample], width, least - SLACK)
+        if _passes(truth, sample, sample[a], b) or width >= len(base):
+            break
+        width *= 2
     parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    linked = []
     for at in range(0, len(queries), block):
         a, b = graph.near(single[at : at + block], width, least - SLACK)
         parts.append((a + at, b))
-        linked += [np.unique(a + at)]
     a, b = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    # the second audit looks at queries that have links: those show whether groups are found whole
-    linked = np.concatenate(linked) if linked else np.zeros(0, np.int64)
-    if len(linked):
-        sample = linked[np.linspace(0, len(linked) - 1, min(AUDIT, len(linked))).astype(int)]
-        truth = (single[sample] @ graph.x.T) >= least
-        if np.isin(a, sample).sum() < RECALL * truth.sum() and width < len(base):
-            rest = [graph.near(single[at : at + block], width * 4, least - SLACK) for at in range(0, len(queries), block)]
-            a, b = np.concatenate([r[0] + i * block for i, r in enumerate(rest)]), np.concatenate([r[1] for r in rest])
+    # the second audit is of the pairs that go out
+    if not _passes(truth, sample, a, b) and width < len(base):
+        rest = [graph.near(single[at : at + block], width * 4, least - SLACK) for at in range(0, len(queries), block)]
+        a, b = np.concatenate([r[0] + i * block for i, r in enumerate(rest)]), np.concatenate([r[1] for r in rest])
     pair = np.unique(a.astype(np.int64) * len(base) + b)
     a, b = pair // len(base), pair % len(base)
     keep = np.zeros(len(a), bool)
@@ -312,7 +335,7 @@ def near_duplicates(table: DataFrame, key: str, vector: str, least: float) -> Da
         graph = SmallWorld.load(graphs.column("graph")[0].as_py())
         ids, copies, base = get(graphs, "ids", "<i8"), get(graphs, "copies", "<i8"), get(graphs, "units", "<f8").reshape(-1, dim)
         q_ids, q_copies, queries = get(asked, "ids", "<i8"), get(asked, "copies", "<i8"), get(asked, "units", "<f8").reshape(-1, dim)
-        a, b = links_between(graph, base, queries, least)
+        a, b = links_between(graph, base, queries, least, same)
         if same:  # either end may have found the pair
             a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
             pair = np.unique(a * len(base) + b)

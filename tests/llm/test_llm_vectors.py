@@ -88,6 +88,38 @@ def test_recall_against_brute_force():
     assert truth[a, b].all() and len(a) >= 0.98 * truth.sum()
 
 
+def planted(n=3000, dim=32, links=12):
+    """Unit vectors of which only a few have a link, at places that evenly spaced samples do not have."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, dim))
+    spaced = set(np.linspace(0, n - 1, neardup.AUDIT).astype(int).tolist())
+    pairs = [(i, i + n // 2) for i in range(2, n // 2) if not {i, i + n // 2} & spaced][:links]
+    for i, j in pairs:
+        x[j] = x[i] + rng.normal(size=dim) * 0.1
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x, {p for i, j in pairs for p in ((i, j), (j, i))}
+
+
+class Narrow:
+    """A graph whose beams of less than ``enough`` find a vector itself only."""
+
+    def __init__(self, x, enough):
+        self.x, self.enough, self.widths = x.astype(np.float32), enough, []
+
+    def near(self, q, width, least):
+        self.widths.append(width)
+        return np.nonzero(q @ self.x.T >= (least if width >= self.enough else 0.99999))
+
+
+def test_audit_sees_rare_links():
+    x, want = planted()
+    half = len(x) // 2  # two shards: most queries have no link
+    a, b = neardup.links_between(Narrow(x[:half], 64), x[:half], x[half:], 0.9)
+    assert {(i + half, j) for i, j in zip(a.tolist(), b.tolist())} == {p for p in want if p[0] > p[1]}
+    a, b = neardup.links_between(Narrow(x, 64), x, x, 0.9, same=True)  # one shard: each vector also finds itself
+    assert {(i, j) for i, j in zip(a.tolist(), b.tolist()) if i != j} == want
+
+
 def test_components(spark, monkeypatch):
     rng = np.random.default_rng(9)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000, i) for i in range(1001, 1200)] + [(i, i + 1) for i in range(2000, 2030)]
