@@ -4,8 +4,9 @@ Equal vectors are first made one class. Classes are dealt to shards of bounded s
 gets a hierarchical navigable small-world graph. Every shard's vectors are searched for in every
 shard's graph (each pair of shards in one task, in one direction). The search is a beam search,
 run in lockstep over a block of queries. A query's beam widens while it is full of links. Each
-task audits its recall against brute force on a sample of its queries and widens all beams until
-the audit passes. What the beams find is verified by cosine in double precision.
+task audits its recall on queries that brute force shows to have links, first alone and then
+among all, and widens all beams until the audits pass; a beam that would meet most of a shard gives
+way to brute force. What is found is verified by cosine in double precision.
 
 A task returns two numbers per vector, its links and the smallest class it is joined to there:
 rows grow with the vectors, never with the pairs of a group. Components are then united.
@@ -280,26 +281,34 @@ def _passes(truth: np.ndarray, sample: np.ndarray, a: np.ndarray, b: np.ndarray)
     return bool(hits.sum() >= RECALL * links.sum() and (hits / links).mean() >= RECALL)
 
 
+def _wider(width: int, size: int) -> int:
+    """The next width; the whole shard's size where a beam would meet about as many nodes."""
+    return size if 4 * LINKS * width >= size else 2 * width
+
+
+def _search(graph: SmallWorld, single: np.ndarray, rows: np.ndarray, width: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs of some queries; with a width of the shard's size by brute force, as a graph need not be connected."""
+    if width < len(graph.x):
+        a, b = graph.near(single[rows], width, least - SLACK)
+    else:
+        a, b = np.nonzero(single[rows] @ graph.x.T >= least - SLACK)
+    return rows[a], b
+
+
 def links_between(graph: SmallWorld, base: np.ndarray, queries: np.ndarray, least: float, same: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs with a cosine of at least ``least``, with beams widened until the audit passes; ``same``: the queries are the nodes."""
+    """(query, node) pairs with a cosine of at least ``least``, with beams widened until the audits pass or all nodes are looked at; ``same``: the queries are the nodes."""
     single = queries.astype(np.float32)
     block = int(max(32, min(256, (32 << 20) // max(1, len(base)))))
     sample, truth = _audited(graph.x, single, least, same)
     width = BEAM
-    while len(sample):
-        a, b = graph.near(single[sample], width, least - SLACK)
-        if _passes(truth, sample, sample[a], b) or width >= len(base):
+    while len(sample) and width < len(base) and not _passes(truth, sample, *_search(graph, single, sample, width, least)):
+        width = _wider(width, len(base))
+    while True:  # the second audit is of the pairs that go out
+        parts = [_search(graph, single, np.arange(at, min(at + block, len(single))), width, least) for at in range(0, len(single), block)]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts)]) for i in (0, 1))
+        if width >= len(base) or _passes(truth, sample, a, b):
             break
-        width *= 2
-    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    for at in range(0, len(queries), block):
-        a, b = graph.near(single[at : at + block], width, least - SLACK)
-        parts.append((a + at, b))
-    a, b = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    # the second audit is of the pairs that go out
-    if not _passes(truth, sample, a, b) and width < len(base):
-        rest = [graph.near(single[at : at + block], width * 4, least - SLACK) for at in range(0, len(queries), block)]
-        a, b = np.concatenate([r[0] + i * block for i, r in enumerate(rest)]), np.concatenate([r[1] for r in rest])
+        width = _wider(width, len(base))
     pair = np.unique(a.astype(np.int64) * len(base) + b)
     a, b = pair // len(base), pair % len(base)
     keep = np.zeros(len(a), bool)

@@ -120,6 +120,22 @@ def test_audit_sees_rare_links():
     assert {(i, j) for i, j in zip(a.tolist(), b.tolist()) if i != j} == want
 
 
+def test_second_audit_widens_until_it_passes():
+    x, want = planted()
+
+    class Fickle(Narrow):
+        """Finds everything when asked for the first time, as the first audit does."""
+
+        def near(self, q, width, least):
+            found = super().near(q, width, least)
+            return found if len(self.widths) > 1 else np.nonzero(q @ self.x.T >= least)
+
+    half = len(x) // 2
+    for enough in (32, 64, 10**9):  # 10**9: no beam finds them, as in a graph that is not connected
+        a, b = neardup.links_between(Fickle(x[:half], enough), x[:half], x[half:], 0.9)
+        assert {(i + half, j) for i, j in zip(a.tolist(), b.tolist())} == {p for p in want if p[0] > p[1]}, enough
+
+
 def test_components(spark, monkeypatch):
     rng = np.random.default_rng(9)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000, i) for i in range(1001, 1200)] + [(i, i + 1) for i in range(2000, 2030)]
