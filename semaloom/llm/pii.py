@@ -114,7 +114,7 @@ def candidates(text: str, good: list[Span]) -> list[Span]:
             while m := pattern.search(part, at):
                 if zone.start() <= a + m.start():
                     found.add((kind, a + m.start(), a + m.end()))
-                at = m.start() + 1 if len(part) < 200 else m.end()  # also overlapping ones, in short zones
+                at = m.start() + 1  # also overlapping ones; a match has bounded length, so this is linear
     if "[at]" in text or "(at)" in text or "[AT]" in text or "(AT)" in text:
         found.update((0, m.start(), m.end()) for m in _SPELT.finditer(text))
     if " dot " in text:

@@ -359,3 +359,16 @@ def test_pii(spark):
     assert safe[0] == "some words before [EMAIL] and after." and safe[2000] is None and safe[2001] == "" and safe[7] == texts[7]
     assert pii.redact(docs, model).columns == docs.columns
     assert pii.detect(docs.limit(0), pii.learn(docs.limit(0))).count() == 0
+
+
+def test_pii_candidates_in_long_zones():
+    """The same readings of a number table are proposed in a short and in a long line, whatever group they start at."""
+    groups = [f"{1000 + 37 * k % 9000}" for k in range(400)]
+    line = " ".join(groups)
+    assert len(line) > 200
+    found = {(a, b) for kind, a, b in pii.candidates(line, []) if kind == 2}
+    assert found == {(5 * k, 5 * k + 19) for k in range(len(groups) - 3)}
+    card = "4111 1111 1111 1111"
+    for k in range(4):
+        text = " ".join([*groups[:k], card, *groups[4:60]])
+        assert (2, 5 * k, 5 * k + 19) in pii.candidates(text, [])
