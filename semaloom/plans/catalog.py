@@ -456,6 +456,22 @@ def rri_pass2(spark, d):
     return second.select("token", F.posexplode("q").alias("d", "q")).withColumn("q", F.col("q").cast("long"))
 
 
+@query(f"WITH {sql.enriched(DIM)} SELECT token, d::INTEGER AS d, q::BIGINT AS q FROM p1")
+def rri_pass1_documents(spark, d):
+    docs = cut(_docs(spark, d))
+    tokens = docs.select(F.explode("tokens").alias("token")).distinct()
+    first = cooccurrence.pass1(cooccurrence.weights(docs), DigestVectors(DIM).vectors(tokens), DIM)
+    return first.select("token", F.posexplode("q").alias("d", "q")).withColumn("q", F.col("q").cast("long"))
+
+
+@query(f"WITH {sql.enriched(DIM)} SELECT token, d::INTEGER AS d, q::BIGINT AS q FROM enr")
+def rri_pass2_documents(spark, d):
+    docs = cut(_docs(spark, d))
+    tokens = docs.select(F.explode("tokens").alias("token")).distinct()
+    second = cooccurrence.enrich(docs, DigestVectors(DIM).vectors(tokens), DIM)
+    return second.select("token", F.posexplode("q").alias("d", "q")).withColumn("q", F.col("q").cast("long"))
+
+
 @query()
 def simulated_attention(spark, d):
     v = graph.attend(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 64, neighbours=8, rounds=2)
@@ -464,7 +480,7 @@ def simulated_attention(spark, d):
 
 @query()
 def describe_functions(spark, d):
-    docs = _small(spark, d)
+    docs = cut(_docs(spark, d))
     c = corpus.CorpusBuilder(spark, EngineConfig.of(DIM, abbrev=False)).add_tokens(docs).finalize(DigestVectors(DIM))
     return scores.described(c, docs).select("doc_id", F.size("tfidf").alias("terms"), F.round(V.norm(F.col("ri")), 6).alias("size"))
 

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from semaloom.plans import catalog
+from semaloom.plans import catalog, sql
 
 FAST = ["tokenize_documents", "vocab_df_idf", "search_auto", "all_pairs_edges", "combined_score", "rri_pass2"]
 
@@ -28,6 +28,20 @@ def test_oracle(spark, sf_dir, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["rri_pass1_documents", "rri_pass2_documents"])
+def test_enrichment_of_documents(spark, sf_dir, name):
+    test_oracle(spark, sf_dir, name)
+
+
+def test_describe_functions_has_all_documents(spark, sf_dir):
+    """Against the documents' own tokens, counted without Spark."""
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    want = con.sql(f"WITH {sql.documents()} SELECT doc_id, count(*) AS terms FROM post GROUP BY doc_id").fetchall()
+    got = [(r["doc_id"], r["terms"]) for r in entry.queries()["describe_functions"](spark, sf_dir).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 100
+
+
 def test_catalogue():
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
