@@ -474,7 +474,7 @@ def rri_pass2_documents(spark, d):
 
 @query()
 def simulated_attention(spark, d):
-    v = graph.attend(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 64, neighbours=8, rounds=2)
+    v = graph.attend(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 64)
     return v.select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 

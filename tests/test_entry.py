@@ -42,6 +42,28 @@ def test_describe_functions_has_all_documents(spark, sf_dir):
     assert sorted(got) == sorted(want) and len(got) > 100
 
 
+def test_simulated_attention_is_whole(spark, sf_dir, monkeypatch):
+    """32 neighbours and 3 rounds, against numpy."""
+    import numpy as np
+
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").limit(120).cache()
+    monkeypatch.setattr(catalog, "table", lambda *_: rows)
+    got = entry.queries()["simulated_attention"](spark, sf_dir)
+    x = np.array([r["embedding"] for r in rows.collect()], np.float64)
+    for _ in range(3):
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        sims = u @ u.T
+        np.fill_diagonal(sims, -2)
+        near = np.argsort(-sims, 1, kind="stable")[:, :32]
+        x = 0.7 * x + 0.3 * x[near].mean(1)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = {r["vec_id"]: k for k, r in enumerate(rows.collect())}
+    found = np.zeros_like(x)
+    for r in got.collect():
+        found[ids[r["vec_id"]], r["i"]] = r["x"]
+    assert np.abs(found - x).max() < 1e-5
+
+
 def test_catalogue():
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
     assert set(entry.oracle_sql()) <= set(entry.queries())
