@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semaloom.llm import textkit
 from semaloom.llm.components import components
@@ -449,8 +450,8 @@ def _apart(pairs: DataFrame, joined: DataFrame | None) -> DataFrame:
     return pairs.join(one, "a", "left").join(two, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per document: the size of its set, the smallest id reachable by links."""
+def _by_row(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(doc_id, n_shingles, set, component, component_id) per document; no set and component without n-grams."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     described = _described(docs, n)
     feats = described.filter("sketch is not null")
@@ -497,23 +498,46 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         joined = components(links)
     groups = classes.select("set").join(joined.select(F.col("id").alias("set"), "component"), "set", "left").select("set", F.coalesce("component", "set").alias("component"))
     least = classes.join(groups, "set").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_set = groups.join(least, "component").select("set", "component_id")
+    by_set = groups.join(least, "component").select("set", "component", "component_id")
     rows = feats.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set")).alias("set"))
     return rows.join(by_set, "set", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+        "doc_id", "n_shingles", "set", "component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
 
 
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per document: the size of its set, the smallest id reachable by links."""
+    return _by_row(docs, key, text, n).select("doc_id", "n_shingles", "component_id")
+
+
+def _with_set(docs: DataFrame, text: str, n: int) -> DataFrame:
+    """``docs`` and ``_set``, the name of each row's set; null without n-grams."""
+    at = docs.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [digest(grams) if len(grams) else None for grams in gram_sets(batch.column(at), n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.int64())], names=[*batch.schema.names, "_set"])
+
+    return docs.mapInArrow(lean(work), T.StructType([*docs.schema.fields, T.StructField("_set", T.LongType())]))
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, with all columns; of rows with one id one stays."""
-    found = cut(jaccard_components(docs, key, text, n).select(F.col("doc_id").alias(key), "component_id"))
+    """The rows of ``docs`` whose id is the smallest of their text's component, with all columns; of rows with one id and one component one stays."""
+    found = cut(_by_row(docs, key, text, n).select(F.col("doc_id").alias(key), "set", "component", "component_id"))
     gone = cut(found.filter(F.col(key) != F.col("component_id")).select(key).distinct())
-    stays = docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, key, "left_anti")
     twice = cut(found.groupBy(key).count().filter(F.col("count") > 1).filter(F.col(key).isNotNull()).select(key))
-    if not (n_twice := twice.count()):
-        return stays
+    n_gone, n_twice = gone.count(), twice.count()
+    if not n_twice:
+        return docs.join(F.broadcast(gone) if n_gone <= MOST_BROADCAST else gone, key, "left_anti")
     side = F.broadcast(twice) if n_twice <= MOST_BROADCAST else twice
-    return stays.join(side, key, "left_anti").unionByName(stays.join(side, key, "left_semi").dropDuplicates([key])).select(*docs.columns)
+    gone = gone.join(side, key, "left_anti")
+    once = docs.join(side, key, "left_anti").join(F.broadcast(gone) if n_gone <= MOST_BROADCAST else gone, key, "left_anti")
+    # rows of a repeated id are judged by their own texts
+    facts = found.join(side, key, "left_semi").filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_key"), F.col("set").alias("_of"), F.col("component").alias("_component")).distinct()
+    again = _with_set(docs.join(side, key, "left_semi"), text, n)
+    again = again.join(facts, (F.col(key) == F.col("_key")) & F.col("_set").eqNullSafe(F.col("_of"))).dropDuplicates([key, "_component"])
+    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,15 @@ def test_jaccard_empty_and_null_ids(spark, no_docs):
     assert sorted(map(repr, kept)) == ["Row(doc_id=2, text='a b c d e f')", "Row(doc_id=None, text='a b c d e f')"]
 
 
+def test_one_of_each_judges_rows_of_one_id_by_their_texts(spark):
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(1, text(0)), (5, text(0)), (5, text(1)), (5, text(2)), (5, text(2) + " end"), (5, text(2)), (5, ""), (5, None), (6, text(1)), (7, text(3)), (None, text(3)), (None, text(3))]
+    kept = sorted(map(repr, jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    short = [r.replace(text(2) + " end", text(2)).replace("''", "None") for r in kept]
+    want = [(1, text(0)), (5, text(1)), (5, text(2)), (5, None), (7, text(3)), (None, text(3)), (None, text(3))]
+    assert short == sorted(f"Row(doc_id={i}, text={t!r})" for i, t in want)
+
+
 def test_jaccard_one_link_in_a_hot_run(spark, monkeypatch):
     """One run of hundreds of unlinked sets and a linked pair that the sampled rounds do not compare."""
     text = lambda i, last="": " ".join([*(f"u{i}x{k}" for k in range(40)), last])
