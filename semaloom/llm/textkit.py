@@ -88,6 +88,19 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np
     return mix(sums), starts, ends, counts
 
 
+def word_counts(column: pa.Array) -> np.ndarray:
+    """Number of words of each text; null has none."""
+    out = np.zeros(len(column), np.int64)
+    for first, last, raw, offsets in pieces(column):
+        sep = _SEP[raw]
+        edge = np.empty(len(raw), bool)
+        edge[:1] = True
+        edge[1:] = sep[:-1]
+        edge[offsets[:-1][offsets[:-1] < len(raw)]] = True
+        out[first:last] = np.diff(np.searchsorted(np.flatnonzero(edge & ~sep), offsets))
+    return out
+
+
 _SPREAD = np.random.default_rng(7).integers(1, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
