@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -36,15 +37,16 @@ def ensure_shipped(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-#: Rows of an Arrow batch where the session says nothing else: texts may be long, and a batch is held whole.
-BATCH_ROWS = 1000
+#: Rows of an Arrow batch, and of a batch of the Parquet reader, where the session says nothing else:
+#: texts may be long, and a batch is held whole, in the reader as one array that doubles as it grows.
+BATCH_ROWS, READER_ROWS = 512, 512
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small unless the session has its own setting."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Keep Arrow batches and the Parquet reader's batches small unless the session has its own settings."""
+    for name, usual, rows in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", BATCH_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", "4096", READER_ROWS)):
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, str(rows))
 
 
 def release() -> None:
@@ -68,19 +70,27 @@ def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a local one only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir; a local one only where it is unset and one machine does all work."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
         configured = sc.getConf().get("spark.checkpoint.dir", None)
+        if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="semaloom-checkpoint-"))
         current = sc.getCheckpointDir()
     return current
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+def cut(df: DataFrame, small: bool = False) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+
+    ``small``: its rows are few and short beside what they are made from, so it is written by as
+    many tasks as there are cores, one file each, instead of a file for every partition.
+    """
     checkpoint_dir(df.sparkSession)
+    if small:
+        df = df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
     return df.checkpoint(eager=True)
 
 
