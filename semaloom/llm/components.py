@@ -42,7 +42,7 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every node in ``links`` (a, b); component is the smallest reachable id."""
-    links = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    links = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), small=True)
     if links.count() <= SMALL:
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +51,7 @@ def components(links: DataFrame) -> DataFrame:
                 whole = pa.Table.from_batches(got)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in roots(whole.column(0).to_numpy(), whole.column(1).to_numpy())], names=["id", "component"])
 
-        return links.coalesce(1).mapInArrow(work, "id long, component long")
+        return cut(links.coalesce(1).mapInArrow(work, "id long, component long"))
     before = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))

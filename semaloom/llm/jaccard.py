@@ -11,12 +11,16 @@ ordered alike everywhere, the first k + 1 are its join keys, and two linked sets
 parts come first, so that passages which many documents share are seldom keys.
 
 Documents with a common key form a run. All of a run are compared with its first member, which
-joins most groups. What is left are runs with members of different components: there pairs across
-components are compared, the most similar ones first, until none is left that its sketches allow
-to be linked. So no run is expanded into all its pairs, and no link between different components
-is lost. Candidates pass a second parity sketch, whose
-Hamming distance is a lower bound of the symmetric difference, and then an exact comparison of
-the sets.
+joins most groups. What is left are runs with members of different components: there members
+outside a run's largest component are compared with all of it, in blocks of bounded size; first
+the most similar partners of each, then all that the sketches allow to be linked. So no run is
+expanded into all its pairs, and no link between different components is lost. Candidates pass a
+second parity sketch, whose Hamming distance is a lower bound of the symmetric difference, and
+then an exact comparison of the sets.
+
+A key that very many sets share is known by its n-grams' counts; its run is dealt out in pieces
+that meet again by the key, so no task gathers it. Sets are named by 64 bits of a digest, checked
+against a second digest; if two sets share a name, all are named anew with another salt.
 
 Defined cases: null and empty texts have no n-grams and link with nothing; a text of fewer words
 than n is one n-gram; rows without an id link with nothing and have no component; rows of one id
@@ -25,6 +29,7 @@ are judged by their texts; an empty table gives an empty result; extra columns a
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -48,10 +53,12 @@ KEYS_AT, SHARES = 500_000, 16
 GATHERED = 1_500_000
 #: Ids that are broadcast, at most (8 bytes each); more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
-#: Pairs of two components that are compared in each further round; in the last one all that are left.
-TRIES = (2, 32, None)
-#: Members of a run that each of its members is compared with in a round that is not the last.
-FEW = 64
+#: Rounds in which a member is compared with its TRIES most similar partners of a block; then all that are left are compared.
+ROUNDS, TRIES = 1, 2
+#: Members of each side of a block.
+BLOCK = 128
+#: Sets that share a key at most before its run is dealt out in pieces.
+HEAVY = 100_000
 
 _EDGES = [8**i for i in range(15)]
 #: Size classes grow by this factor, up to 255; linked sets are at most so many classes apart.
@@ -89,9 +96,9 @@ def gram_sets(column: pa.Array, n: int, lower: bool = True) -> Iterator[np.ndarr
                 yield np.zeros(0, np.uint64)
 
 
-def digest(grams: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    total = int(textkit.mix(grams).sum(dtype=np.uint64)) if len(grams) else 0
+def digest(grams: np.ndarray, salt: int = 0) -> int:
+    """A 64-bit name of a set; another one for another ``salt``."""
+    total = int(textkit.mix(grams ^ np.uint64(salt * 0xA24BAED4963EE407 & 0xFFFFFFFFFFFFFFFF)).sum(dtype=np.uint64)) if len(grams) else 0
     return int(textkit.mix(np.array([(total ^ (len(grams) * 0x9E3779B97F4A7C15)) & 0xFFFFFFFFFFFFFFFF], np.uint64)).view(np.int64)[0])
 
 
@@ -111,11 +118,14 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def join_keys(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """Keys of a set in its own band and, as the larger partner, in the band below; ``common``: how common each n-gram is."""
+def join_keys(grams: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set in its own band and, as the larger partner, in the band below, and how many sets may share each.
+
+    ``common``: how common each n-gram is. All sets that share a key hold its n-grams, so the rarest of them bounds the run.
+    """
     n = len(grams)
     band = int(np.searchsorted(_EDGES_ARRAY, n, side="right")) - 1
-    out = []
+    out, bounds = [], []
     for tag in (band, band - 1):
         if tag < 0:
             continue
@@ -130,18 +140,25 @@ def join_keys(grams: np.ndarray, common: np.ndarray) -> np.ndarray:
         keys = textkit.mix(sketch ^ ((part[starts] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(tag << 56))
         if len(keys) <= k:  # too few parts for the argument: then all of them, and one key for all such sets
             out += [keys, np.array([0xABCDEF + tag], np.uint64)]
+            bounds += [np.minimum.reduceat(common, starts), np.zeros(1, np.int64)]
             continue
         rare = np.minimum.reduceat(common, starts)
-        out.append(keys[np.lexsort((keys, rare))[: k + 1]] if rare.any() else np.partition(keys, k)[: k + 1])
-    return np.concatenate(out)
+        if rare.any():
+            first = np.lexsort((keys, rare))[: k + 1]
+            out.append(keys[first])
+            bounds.append(rare[first])
+        else:
+            out.append(np.partition(keys, k)[: k + 1])
+            bounds.append(np.zeros(k + 1, np.int64))
+    return np.concatenate(out), np.concatenate(bounds)
 
 
-def _described(docs: DataFrame, n: int) -> DataFrame:
-    """One pass: (doc_id, n, set, sketch) per document, and rows without a sketch that hold common n-grams and their counts."""
+def _described(docs: DataFrame, n: int, salt: int = 0) -> DataFrame:
+    """One pass: (doc_id, n, set, proof, sketch) per document, ``proof`` a second digest of the set, and rows without a sketch that hold common n-grams and their counts."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "set", "sketch", "common"]
+        names = ["doc_id", "n", "set", "proof", "sketch", "common"]
         held: list[np.ndarray] = []
         size, id_type = 0, pa.int64()
 
@@ -155,26 +172,27 @@ def _described(docs: DataFrame, n: int) -> DataFrame:
                 values = np.unique(every[first])
                 counts = (np.searchsorted(every, values, side="right") - np.searchsorted(every, values)).astype(np.uint64)
                 packed = np.concatenate([values, counts]).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), *[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())], names=names)
 
         for batch in batches:
             id_type = batch.schema.field(0).type
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sizes, sets, sketches = [], [], []
+                sizes, sets, proofs, sketches = [], [], [], []
                 for grams in gram_sets(part.column(1), n):
                     sizes.append(len(grams))
-                    sets.append(digest(grams))
+                    sets.append(digest(grams, salt))
+                    proofs.append(digest(grams, -1 - salt))
                     sketches.append(parity(grams) if len(grams) else b"")
                     held.append(grams)
                     size += len(grams)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(len(sizes), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.int64()), pa.array(proofs, pa.int64()), pa.array(sketches, pa.binary()), pa.nulls(len(sizes), pa.binary())], names=names)
                 if size >= COUNT_AT:
                     yield from count()
                     size = 0
         yield from count()
 
-    return cut(docs.mapInArrow(lean(work), f"doc_id {kind}, n long, set long, sketch binary, common binary"))
+    return cut(docs.mapInArrow(lean(work), f"doc_id {kind}, n long, set long, proof long, sketch binary, common binary"))
 
 
 def _common(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +205,7 @@ def _common(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(counts)], names=["gram", "count"])
 
     rows = described.filter("common is not null").select("common").mapInArrow(lean(unpack), "gram long, count long").groupBy("gram").agg(F.sum("count").alias("count"))
-    top = cut(rows)
+    top = cut(rows, small=True)
     if (size := top.count()) > MOST_COMMON:  # a threshold that about so many pass, then those
         least = top.approxQuantile("count", [1 - MOST_COMMON / size], 0.001)[0]
         top = top.filter(F.col("count") >= least).orderBy(F.desc("count"), "gram").limit(MOST_COMMON)
@@ -197,41 +215,55 @@ def _common(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], counts[order]
 
 
-def _runs(docs: DataFrame, n: int, common: tuple[np.ndarray, np.ndarray], tasks: int) -> DataFrame:
+def _runs(docs: DataFrame, n: int, common: tuple[np.ndarray, np.ndarray], tasks: int, salt: int = 0) -> DataFrame:
     """(first, members, close) of every run: the sets that share a key, equal member lists once per task of ``tasks``.
 
-    The first ``close`` members are near enough in size to be linked with the run's first one.
+    The first ``close`` members are near enough in size to be linked with the run's first one. A run
+    that may have more than HEAVY sets comes in pieces, each a row of its own with the run's first.
     """
     spark = docs.sparkSession
-    shares = SHARES * tasks
+    shares, heavy_at = SHARES * tasks, HEAVY
     shared = spark.sparkContext.broadcast(common)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts = shared.value
         held: list[tuple[np.ndarray, int, int]] = []
+        pieces: dict[tuple[int, int], list[tuple[int, int]]] = {}
         size, seen = 0, set()
 
-        def deal() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            keys = np.concatenate([k for k, _, _ in held])
-            counts = [len(k) for k, _, _ in held]
-            sets = np.repeat(np.array([s for _, s, _ in held], np.int64), counts)
-            kinds = np.repeat(np.array([c for _, _, c in held], np.uint8), counts)
-            share = ((keys >> np.uint64(40)) % np.uint64(shares)).astype(np.int32)
+        def rows_of(share: np.ndarray, keys: np.ndarray, sets: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
             order = np.argsort(share, kind="stable")
             share, low, sets, kinds = share[order], (keys[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), sets[order], kinds[order]
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(share)) + 1, [len(share)]))
-            rows = [low[a:b].tobytes() + sets[a:b].tobytes() + kinds[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            held.clear()
-            for at in range(0, len(rows), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(share[cuts[:-1]][at : at + 256], pa.int32()), pa.array(rows[at : at + 256], pa.binary())], names=["share", "keys"])
+            return share[cuts[:-1]], [low[a:b].tobytes() + sets[a:b].tobytes() + kinds[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+        def deal() -> Iterator[pa.RecordBatch]:
+            names = ["share", "heavy", "keys"]
+            if held:
+                keys = np.concatenate([k for k, _, _ in held])
+                counts = [len(k) for k, _, _ in held]
+                sets = np.repeat(np.array([s for _, s, _ in held], np.int64), counts)
+                kinds = np.repeat(np.array([c for _, _, c in held], np.uint8), counts)
+                share, rows = rows_of(((keys >> np.uint64(40)) % np.uint64(shares)).astype(np.int32), keys, sets, kinds)
+                held.clear()
+                for at in range(0, len(rows), 256):
+                    part = rows[at : at + 256]
+                    yield pa.RecordBatch.from_arrays([pa.array(share[at : at + 256], pa.int32()), pa.nulls(len(part), pa.int64()), pa.array(part, pa.binary())], names=names)
+            if pieces:
+                found = []
+                for (key, piece), who in pieces.items():
+                    own = textkit.mix(np.array([key ^ (piece * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)], np.uint64))
+                    low = np.repeat((own & np.uint64(0xFFFFFFFF)).astype(np.uint32), len(who))
+                    raw = low.tobytes() + np.array([s for s, _ in who], np.int64).tobytes() + np.array([c for _, c in who], np.uint8).tobytes()
+                    found.append((int((own[0] >> np.uint64(40)) % np.uint64(shares)), int(np.uint64(key).view(np.int64)), raw))
+                pieces.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=names)
 
         for batch in batches:
             for grams in gram_sets(batch.column(0), n):
                 if not len(grams):
                     continue
-                name = digest(grams)
+                name = digest(grams, salt)
                 if name in seen:
                     continue
                 seen.add(name)
@@ -241,9 +273,14 @@ def _runs(docs: DataFrame, n: int, common: tuple[np.ndarray, np.ndarray], tasks:
                 if len(values):
                     at = np.minimum(np.searchsorted(values, grams), len(values) - 1)
                     often = np.where(values[at] == grams, counts[at], 0)
-                keys = join_keys(grams, often)
-                held.append((keys, name, min(255, int(math.log(len(grams)) / math.log(_CLASS)))))
+                keys, most = join_keys(grams, often)
+                kind = min(255, int(math.log(len(grams)) / math.log(_CLASS)))
                 size += len(keys)
+                if (much := most > heavy_at).any():
+                    for key, count in set(zip(keys[much].tolist(), most[much].tolist(), strict=True)):
+                        pieces.setdefault((key, name % -(-count // heavy_at)), []).append((name, kind))
+                    keys = keys[~much]
+                held.append((keys, name, kind))
                 if size >= KEYS_AT:
                     yield from deal()
                     size = 0
@@ -251,12 +288,20 @@ def _runs(docs: DataFrame, n: int, common: tuple[np.ndarray, np.ndarray], tasks:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sets, kinds = [], [], []
+        pieces: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
-            for share, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for share, heavy, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 count = len(raw) // 13
+                if heavy is not None:
+                    pieces.setdefault((heavy, int(np.frombuffer(raw, np.uint32, 1)[0])), []).append(np.frombuffer(raw, np.int64, count, 4 * count))
+                    continue
                 keys.append(np.frombuffer(raw, np.uint32, count).astype(np.uint64) | np.uint64(share << 32))
                 sets.append(np.frombuffer(raw, np.int64, count, 4 * count))
                 kinds.append(np.frombuffer(raw, np.uint8, count, 12 * count))
+        names = ["first", "members", "close", "heavy"]
+        for (heavy, _), parts in pieces.items():
+            members = np.unique(np.concatenate(parts))
+            yield pa.RecordBatch.from_arrays([pa.array(members[:1]), pa.array([members[1:]], pa.list_(pa.int64())), pa.array([len(members) - 1], pa.int32()), pa.array([heavy], pa.int64())], names=names)
         if not keys:
             return
         keys = np.concatenate(keys)
@@ -281,18 +326,26 @@ def _runs(docs: DataFrame, n: int, common: tuple[np.ndarray, np.ndarray], tasks:
         rows = list(lists.items())
         for at in range(0, len(rows), 1024):
             part = [(np.frombuffer(r, np.int64), close) for r, close in rows[at : at + 1024]]
-            columns = [pa.array([int(p[0]) for p, _ in part], pa.int64()), pa.array([p[1:] for p, _ in part], pa.list_(pa.int64())), pa.array([c for _, c in part], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["first", "members", "close"])
+            columns = [pa.array([int(p[0]) for p, _ in part], pa.int64()), pa.array([p[1:] for p, _ in part], pa.list_(pa.int64())), pa.array([c for _, c in part], pa.int32()), pa.nulls(len(part), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    dealt = docs.select("text").mapInArrow(lean(emit), "share int, keys binary").repartition(tasks, F.col("share"))
-    return cut(dealt.mapInArrow(lean(gather), "first long, members array<long>, close int"))
+    dealt = docs.select("text").mapInArrow(lean(emit), "share int, heavy long, keys binary").repartition(tasks, F.col("share"))
+    found = cut(dealt.mapInArrow(lean(gather), "first long, members array<long>, close int, heavy long"))
+    pieces = found.filter("heavy is not null")
+    if pieces.isEmpty():
+        return found.select("first", "members", "close")
+    tops = pieces.groupBy("heavy").agg(F.min("first").alias("top"))
+    others = F.filter(F.concat(F.array("first"), "members"), lambda m: m != F.col("top"))
+    whole = pieces.join(tops, "heavy").select(F.col("top").alias("first"), others.alias("members")).withColumn("close", F.size("members"))
+    return found.filter("heavy is null").select("first", "members", "close").unionByName(whole)
 
 
 class _Verifier:
-    """Compares pairs (a, b) of sets; keeps what it knows of the classes."""
+    """Compares pairs (a, b) of sets; keeps what it knows of the classes, and the sets that it has read."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, n: int):
-        self.docs, self.classes, self.n = docs, classes, n
+    def __init__(self, docs: DataFrame, classes: DataFrame, n: int, salt: int):
+        self.docs, self.classes, self.n, self.salt = docs, classes, n, salt
+        self.read: DataFrame | None = None
 
     def near(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose sizes and parity sketches allow a link."""
@@ -305,24 +358,37 @@ class _Verifier:
 
         one = self.classes.select(F.col("set").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         two = self.classes.select(F.col("set").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(work), "a long, b long"))
+        return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(work), "a long, b long"), small=True)
+
+    def _sets(self, asked: DataFrame) -> DataFrame:
+        """(set, grams) of the sets ``asked`` for; texts are read for those that were not read before."""
+        n, salt = self.n, self.salt
+        known = self.read
+        fresh = asked if known is None else asked.join(known.select("set"), "set", "left_anti")
+        wanted = cut(fresh.join(self.classes.select("set", "doc_id"), "set").select("set", "doc_id"), small=True)
+        if count := wanted.count():
+            held = F.broadcast(wanted) if count <= MOST_BROADCAST else wanted
+            texts = self.docs.join(held, "doc_id", "left_semi").select("text")
+
+            def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for at in range(0, batch.num_rows, 512):
+                        found = list(gram_sets(batch.column(0).slice(at, 512), n))
+                        yield pa.RecordBatch.from_arrays([pa.array([digest(g, salt) for g in found], pa.int64()), pa.array([g.tobytes() for g in found], pa.binary())], names=["set", "grams"])
+
+            part = cut(texts.mapInArrow(lean(sets), "set long, grams binary").join(held, "set", "left_semi"))
+            if not part.groupBy("set").count().filter("count > 1").isEmpty():  # rows of one id
+                part = cut(part.dropDuplicates(["set"]))
+            self.read = part if known is None else known.unionByName(part)
+        if known is None:
+            return self.read
+        return self.read.join(F.broadcast(asked) if asked.count() <= MOST_BROADCAST else asked, "set", "left_semi")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (from :meth:`near`) that the linking rule accepts."""
-        n = self.n
         if pairs.isEmpty():
             return pairs
-        wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(self.classes.select("set", "doc_id"), "set").select("doc_id"))
-        few = wanted.count() <= MOST_BROADCAST
-        texts = self.docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").select("text")
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    found = list(gram_sets(batch.column(0).slice(at, 512), n))
-                    yield pa.RecordBatch.from_arrays([pa.array([digest(g) for g in found], pa.int64()), pa.array([g.tobytes() for g in found], pa.binary())], names=["set", "grams"])
-
-        whole = cut(texts.mapInArrow(lean(sets), "set long, grams binary").dropDuplicates(["set"]))
+        whole = self._sets(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct())
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -336,82 +402,50 @@ class _Verifier:
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
         one, two = whole.select(F.col("set").alias("a"), F.col("grams").alias("ga")), whole.select(F.col("set").alias("b"), F.col("grams").alias("gb"))
-        return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "ga", "gb").mapInArrow(lean(work), "a long, b long"))
+        return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "ga", "gb").mapInArrow(lean(work), "a long, b long"), small=True)
 
 
-def _across(runs: DataFrame, met: DataFrame, joined: DataFrame, classes: DataFrame, tries: int | None) -> DataFrame:
-    """(a, b): pairs of members of a run, not its first one, in different components, whose sketches allow a link.
+def _across(met: DataFrame, joined: DataFrame, classes: DataFrame, tries: int | None) -> DataFrame | None:
+    """(a, b): pairs of sets that share a first member, in different components, whose sketches allow a link; None if there are no such runs.
 
-    A task has the runs of one first member and the sketches of their members. It gives the
-    ``tries`` most similar pairs of each two components, or all of them.
+    The members of a first one outside its largest component are compared with all its members, in
+    blocks of about BLOCK by BLOCK. A block gives each one's ``tries`` most similar partners, or all.
     """
-    named = met.join(joined.select(F.col("id").alias("b"), "component"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("label"))
-    mixed = cut(named.groupBy("a").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("a").alias("first")))
-    lists = runs.filter(F.size("members") > 1).join(mixed, "first").select("first", "members")
-    facts = classes.select(F.col("set").alias("b"), "n", "sketch")
-    info = named.join(mixed.select(F.col("first").alias("a")), "a").join(facts, "b").select(F.col("a").alias("first"), "b", "label", "n", "sketch")
-
-    def work(key: tuple, runs: pa.Table, info: pa.Table) -> pa.Table:
-        out: list[np.ndarray] = []
-        if runs.num_rows and info.num_rows:
-            info = info.sort_by("b")
-            ids, labels, n = (info.column(c).to_numpy() for c in ("b", "label", "n"))
-            sketches = _Sketches(info.column("sketch").to_pylist())
-            todo = _Todo(labels, n)
-            for turn, members in enumerate(runs.column("members").to_pylist()):
-                at = np.searchsorted(ids, np.array(members, np.int64))
-                own = labels[at]
-                values, counts = np.unique(own, return_counts=True)
-                if len(values) == 1:
-                    continue
-                minor = at[own != values[counts.argmax()]]
-                if tries is not None and len(at) > FEW:  # while components are still to be joined, some partners do
-                    at = at[(np.arange(FEW) * len(at) // FEW + turn) % len(at)]
-                for lo in range(0, len(minor), max(1, (1 << 20) // len(at))):
-                    i, j = todo.take(minor[lo : lo + max(1, (1 << 20) // len(at))], at)
-                    apart, most = sketches.apart(i, j), most_apart(n[i] + n[j])
-                    near = apart <= most
-                    out.append(np.stack([i[near], j[near], (apart[near] * 1000000) // np.maximum(most[near], 1)], 1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-        if tries is not None and len(pairs):
-            la, lb = labels[pairs[:, 0]], labels[pairs[:, 1]]
-            la, lb = np.minimum(la, lb), np.maximum(la, lb)
-            order = np.lexsort((pairs[:, 2], lb, la))
-            pairs, la, lb = pairs[order], la[order], lb[order]
-            first = np.flatnonzero(np.concatenate(([True], (la[1:] != la[:-1]) | (lb[1:] != lb[:-1]))))
-            pairs = pairs[np.arange(len(pairs)) - np.repeat(first, np.diff(np.append(first, len(pairs)))) < tries]
-        ends = [ids[pairs[:, k]] if len(pairs) else np.zeros(0, np.int64) for k in (0, 1)]
+    named = met.join(joined.select(F.col("id").alias("b"), "component"), "b", "left").select(F.col("a").alias("first"), "b", F.coalesce("component", "b").alias("label"))
+    counts = named.groupBy("first", "label").agg(F.count("*").alias("count")).groupBy("first")
+    counts = counts.agg(F.max(F.struct("count", "label")).alias("_main"), F.sum("count").alias("size"), F.count("*").alias("labels")).filter("labels > 1")
+    mixed = cut(counts.select("first", F.col("_main.label").alias("main"), F.ceil((F.col("size") - F.col("_main.count")) / BLOCK).alias("few"), F.ceil(F.col("size") / BLOCK).alias("many")), small=True)
+    if mixed.isEmpty():
+        return None
+    info = named.join(mixed, "first").join(classes.select(F.col("set").alias("b"), "n", "sketch"), "b")
+    columns = [F.col(c).alias(c) for c in ("first", "x", "y", "b", "label", "main", "n", "sketch")]  # new names for the planner: both sides come from one table
+    left = info.filter("label <> main").withColumn("x", F.pmod(F.xxhash64("b"), F.col("few"))).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).select(*columns)
+    right = info.withColumn("y", F.pmod(F.xxhash64("b", F.lit(1)), F.col("many"))).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("few") - 1))).select(*columns)
+
+    def work(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        ends = np.zeros((2, 0), np.int64)
+        if left.num_rows and right.num_rows:
+            ids, label, n = (np.concatenate([t.column(c).to_numpy() for t in (left, right)]) for c in ("b", "label", "n"))
+            sketches = _Sketches(left.column("sketch").to_pylist() + right.column("sketch").to_pylist())
+            x, y = np.arange(left.num_rows)[:, None], left.num_rows + np.arange(right.num_rows)[None, :]
+            # two members outside the largest component meet twice
+            fits = (label[x] != label[y]) & (DEN * np.minimum(n[x], n[y]) >= NUM * np.maximum(n[x], n[y])) & ((label[y] == left.column("main")[0].as_py()) | (ids[x] < ids[y]))
+            i, j = np.nonzero(fits)
+            j = j + left.num_rows
+            apart, most = sketches.apart(i, j), most_apart(n[i] + n[j])
+            near = apart <= most
+            i, j, share = i[near], j[near], apart[near] / np.maximum(most[near], 1)
+            if tries is not None and len(i):
+                order = np.lexsort((ids[j], share, i))
+                i, j = i[order], j[order]
+                begin = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+                best = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i)))) < tries
+                i, j = i[best], j[best]
+            ends = np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])])
         return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
 
-    return lists.groupBy("first").cogroup(info.groupBy("first")).applyInArrow(work, "a long, b long").distinct()
-
-
-class _Todo:
-    """Pairs of members that are in different components, near in size, and not compared yet."""
-
-    def __init__(self, labels: np.ndarray, n: np.ndarray):
-        self.labels, self.n, self.size = labels, n, len(n)
-        every = np.arange(self.size)
-        self.open = np.stack([self._fits(np.full(1, i), every) for i in every]) if 0 < self.size <= 4096 else None
-        self.done = np.zeros(0, np.int64)
-
-    def _fits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return (self.labels[i] != self.labels[j]) & (DEN * np.minimum(self.n[i], self.n[j]) >= NUM * np.maximum(self.n[i], self.n[j]))
-
-    def take(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if self.open is not None:
-            a, b = np.nonzero(self.open[x[:, None], y[None, :]])
-            i, j = x[a], y[b]
-            self.open[i, j] = self.open[j, i] = False
-        else:
-            i, j = np.repeat(x, len(y)), np.tile(y, len(x))
-            fits = self._fits(i, j)
-            i, j = i[fits], j[fits]
-        pairs = np.unique(np.minimum(i, j) * self.size + np.maximum(i, j))
-        if self.open is None:
-            pairs = pairs[~np.isin(pairs, self.done)]
-            self.done = np.concatenate([self.done, pairs])
-        return pairs // self.size, pairs % self.size
+    keys = ("first", "x", "y")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, "a long, b long").distinct()
 
 
 class _Sketches:
@@ -450,17 +484,22 @@ def _apart(pairs: DataFrame, joined: DataFrame | None) -> DataFrame:
     return pairs.join(one, "a", "left").join(two, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _by_row(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(doc_id, n_shingles, set, component, component_id) per document; no set and component without n-grams."""
+def _by_row(docs: DataFrame, key: str, text: str, n: int) -> tuple[DataFrame, int]:
+    """(doc_id, n_shingles, set, component, component_id) per document, and the salt of the sets' names; no set and component without n-grams."""
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    described = _described(docs, n)
-    feats = described.filter("sketch is not null")
+    for salt in itertools.count():
+        described = _described(docs, n, salt)
+        feats = described.filter("sketch is not null")
+        found = feats.filter("n > 0 and doc_id is not null").groupBy("set")
+        classes = cut(found.agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("proof").alias("proof"), F.max("proof").alias("other")), small=True)
+        if classes.filter("proof <> other").isEmpty():  # else two sets have one name
+            break
+    classes = classes.drop("proof", "other")
     known = docs.filter("doc_id is not null")
-    classes = cut(feats.filter("n > 0 and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     # a set has about two keys for each five of its n-grams
     total = classes.agg(F.sum("n")).first()[0] or 0
-    runs = _runs(known, n, _common(described), max(4, int(0.4 * total) // GATHERED))
-    check = _Verifier(known, classes, n)
+    runs = _runs(known, n, _common(described), max(4, int(0.4 * total) // GATHERED), salt)
+    check = _Verifier(known, classes, n, salt)
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -472,27 +511,25 @@ def _by_row(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
             pairs = np.unique(np.stack([first, members.flatten().to_numpy(), close], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(pairs[:, 2] > 0)], names=["a", "b", "close"])
 
-    met = cut(runs.mapInArrow(lean(stars), "a long, b long, close boolean").groupBy("a", "b").agg(F.max("close").alias("close")))
-    star = met.filter("close").select("a", "b")
-    near = check.near(star)
+    met = cut(runs.mapInArrow(lean(stars), "a long, b long, close boolean").groupBy("a", "b").agg(F.max("close").alias("close")), small=True)
+    near = check.near(met.filter("close").select("a", "b"))
     # each set is compared with its smallest first member; then with others, as far as still apart
     once = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = check.linked(once)
     joined = components(links)
-    more = cut(_apart(near.join(once, ["a", "b"], "left_anti"), joined))
-    links = links.unionByName(check.linked(more))
-    joined = components(links)
+    more = cut(_apart(near.join(once, ["a", "b"], "left_anti"), joined), small=True)
+    if not more.isEmpty():
+        links = links.unionByName(check.linked(more))
+        joined = components(links)
     # members of a run that are still in different components may be linked all the same
-    seen, idle = star, False
-    for tries in TRIES:
-        if idle and tries is not None:
-            continue  # the same sampled partners again
-        found = cut(_across(runs, met, joined, classes, tries))
-        if idle := found.isEmpty():
-            continue  # only the last round, which compares all, shows that none is left
-        rest = cut(found.join(seen, ["a", "b"], "left_anti"))
+    seen = near
+    for tries in [TRIES] * ROUNDS + [None]:
+        pairs = _across(met, joined, classes, tries)
+        if pairs is None:
+            break
+        rest = cut(pairs.join(seen, ["a", "b"], "left_anti"), small=True)
         if rest.isEmpty():
-            continue
+            continue  # only the last round, which compares all, shows that none is left
         links = links.unionByName(check.linked(rest))
         seen = seen.unionByName(rest)
         joined = components(links)
@@ -502,21 +539,21 @@ def _by_row(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     rows = feats.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set")).alias("set"))
     return rows.join(by_set, "set", "left").select(
         "doc_id", "n_shingles", "set", "component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
-    )
+    ), salt
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id) per document: the size of its set, the smallest id reachable by links."""
-    return _by_row(docs, key, text, n).select("doc_id", "n_shingles", "component_id")
+    return _by_row(docs, key, text, n)[0].select("doc_id", "n_shingles", "component_id")
 
 
-def _with_set(docs: DataFrame, text: str, n: int) -> DataFrame:
+def _with_set(docs: DataFrame, text: str, n: int, salt: int) -> DataFrame:
     """``docs`` and ``_set``, the name of each row's set; null without n-grams."""
     at = docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [digest(grams) if len(grams) else None for grams in gram_sets(batch.column(at), n)]
+            sets = [digest(grams, salt) if len(grams) else None for grams in gram_sets(batch.column(at), n)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.int64())], names=[*batch.schema.names, "_set"])
 
     return docs.mapInArrow(lean(work), T.StructType([*docs.schema.fields, T.StructField("_set", T.LongType())]))
@@ -524,9 +561,10 @@ def _with_set(docs: DataFrame, text: str, n: int) -> DataFrame:
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of their text's component, with all columns; of rows with one id and one component one stays."""
-    found = cut(_by_row(docs, key, text, n).select(F.col("doc_id").alias(key), "set", "component", "component_id"))
-    gone = cut(found.filter(F.col(key) != F.col("component_id")).select(key).distinct())
-    twice = cut(found.groupBy(key).count().filter(F.col("count") > 1).filter(F.col(key).isNotNull()).select(key))
+    found, salt = _by_row(docs, key, text, n)
+    found = cut(found.select(F.col("doc_id").alias(key), "set", "component", "component_id"), small=True)
+    gone = cut(found.filter(F.col(key) != F.col("component_id")).select(key).distinct(), small=True)
+    twice = cut(found.groupBy(key).count().filter(F.col("count") > 1).filter(F.col(key).isNotNull()).select(key), small=True)
     n_gone, n_twice = gone.count(), twice.count()
     if not n_twice:
         return docs.join(F.broadcast(gone) if n_gone <= MOST_BROADCAST else gone, key, "left_anti")
@@ -535,7 +573,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     once = docs.join(side, key, "left_anti").join(F.broadcast(gone) if n_gone <= MOST_BROADCAST else gone, key, "left_anti")
     # rows of a repeated id are judged by their own texts
     facts = found.join(side, key, "left_semi").filter(F.col(key) == F.col("component_id")).select(F.col(key).alias("_key"), F.col("set").alias("_of"), F.col("component").alias("_component")).distinct()
-    again = _with_set(docs.join(side, key, "left_semi"), text, n)
+    again = _with_set(docs.join(side, key, "left_semi"), text, n, salt)
     again = again.join(facts, (F.col(key) == F.col("_key")) & F.col("_set").eqNullSafe(F.col("_of"))).dropDuplicates([key, "_component"])
     return once.select(*docs.columns).unionByName(again.select(*docs.columns))
 

@@ -143,7 +143,7 @@ def mixed_documents(docs: DataFrame, weights: list[float], cap: float = 3.0, see
     place = lambda: F.struct(F.col("_rank").alias("r"), F.col("doc_id").alias("d"), F.col("size").alias("s"))
     last = cut(chosen.groupBy("source").agg(
         F.first("source_size").alias("source_size"), F.first("favoured").alias("favoured"), F.first("target").alias("target"), F.max(F.when(F.col("again"), place())).alias("_last")
-    ))
+    ), small=True)
     last = F.broadcast(last) if last.count() <= MOST_BROADCAST else last
     names = docs.columns
     held = _sized(docs, text).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(key).alias("doc_id"), F.col(source).alias("_source"), F.col("_size").alias("size"))

@@ -68,27 +68,24 @@ def test_one_of_each_judges_rows_of_one_id_by_their_texts(spark):
 
 
 def test_jaccard_one_link_in_a_hot_run(spark, monkeypatch):
-    """One run of hundreds of unlinked sets and a linked pair that the sampled rounds do not compare."""
+    """One run of hundreds of unlinked sets, dealt out in many blocks, and one linked pair in it."""
     text = lambda i, last="": " ".join([*(f"u{i}x{k}" for k in range(40)), last])
     texts = {i: text(i) for i in range(500)}
-    names = lambda: {i: jaccard.digest(g) for i, g in zip(texts, jaccard.gram_sets(pa.array(list(texts.values())), 5))}
-    sampled = {k * 500 // jaccard.FEW for k in range(jaccard.FEW)}
-
-    def outside(i, j):
-        texts[1000] = text(i, f"end{j}")
-        run = sorted(names().values())
-        return all(run.index(names()[d]) - 1 not in sampled | {-1} for d in (i, 1000))
-
-    pair = next((i, 1000) for i in range(500) for j in range(3) if outside(i, j))
-    run = sorted(names().values())
+    texts[1000] = text(77, "end")
+    pair = (77, 1000)
+    run = sorted(jaccard.digest(g) for g in jaccard.gram_sets(pa.array(list(texts.values())), 5))
+    monkeypatch.setattr(jaccard, "BLOCK", 40)
     monkeypatch.setattr(jaccard, "_runs", lambda *_: spark.createDataFrame([(run[0], run[1:], len(run) - 1)], "first long, members array<long>, close int"))
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs).collect()}
     assert got == {i: pair[0] if i in pair else i for i in texts}
 
 
-def test_jaccard_group_around_the_threshold(spark):
-    """A group whose members are linked in chains, and outsiders that share a passage with it."""
+@pytest.mark.parametrize("heavy,block", [(jaccard.HEAVY, jaccard.BLOCK), (8, 16)])
+def test_jaccard_group_around_the_threshold(spark, monkeypatch, heavy, block):
+    """A group whose members are linked in chains, and outsiders that share a passage with it; with heavy keys in pieces too."""
+    monkeypatch.setattr(jaccard, "HEAVY", heavy)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     from llm_samples import mutate, prose
     import random
 
@@ -101,6 +98,15 @@ def test_jaccard_group_around_the_threshold(spark):
     assert got == brute_components(rows)
 
 
+def test_jaccard_names_that_collide(spark, monkeypatch):
+    """Sets that get one name are named anew."""
+    digest = jaccard.digest
+    monkeypatch.setattr(jaccard, "digest", lambda grams, salt=0: digest(grams, salt) % 3 if salt in (0, 1) else digest(grams, salt))
+    rows = [(i, " ".join(f"w{i % 7}x{k}" for k in range(20 + i % 2))) for i in range(28)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
 def test_parity_bounds():
     rng = np.random.default_rng(0)
     for n in (1, 4, 30, 300, 3000):
@@ -110,7 +116,7 @@ def test_parity_bounds():
         assert jaccard.hamming(jaccard.parity(a), jaccard.parity(b)) <= apart
         if apart <= jaccard.most_apart(len(a) + len(b)):
             none = lambda x: np.zeros(len(x), np.int64)
-            assert np.intersect1d(jaccard.join_keys(a, none(a)), jaccard.join_keys(b, none(b))).size
+            assert np.intersect1d(jaccard.join_keys(a, none(a))[0], jaccard.join_keys(b, none(b))[0]).size
 
 
 # ---- 4
