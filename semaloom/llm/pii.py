@@ -3,10 +3,12 @@
 Base matches are fixed patterns with validators. High-recall generators propose further, also
 overlapping, spans: shorter readings of what a greedy pattern ran together, numbers without a
 plus sign, spelled-out addresses. Boosted trees judge every candidate by format and context.
-They learn from the corpus itself: candidates that are base matches are positive, spoilt copies
-of them and candidates that no validator accepts are negative, and spans inside a failed base
-match are left out, because they are what the model is to decide. Thresholds are calibrated per
-kind on a part that the trees have not seen.
+They learn from the corpus itself: candidates that are base matches are positive, and so are the
+same data written in other ways (spelled out, regrouped, with another number beside them), which no
+base pattern accepts; spoilt copies, numbers in the middle of number tables and candidates that no
+validator accepts are negative. Spans inside a failed base match, and spans that a validator accepts
+in another form than the base pattern's, are left out, because they are what the model is to decide. Thresholds are calibrated per kind on a part that the trees have not
+seen. Spans are judged whole, whatever their length.
 
 Offsets are code points, ends exclusive. The whole text is searched, in time linear in it.
 
@@ -164,16 +166,35 @@ def describe(kind: int, text: str, before: str, after: str) -> list[float]:
         float(text[:1] == "+"), float("(" in text and ")" in text), float(len(digits) > 1 and luhn(digits)),
         float(bool(parts) and all(p.isdigit() and int(p[-4:]) <= 255 for p in parts)), float(digits[:1] or -1), float("@" in text),
         _class(before[-1:]), _class(after[:1]), float(bool(re.search(r"[0-9]\.$|[+.-]$", before))), float(bool(re.match(r"[.-][0-9]|[%€$]", after))), float(bool(_HINTS.search(before))),
+        len(_digits(before[-12:])), len(_digits(after[:12])),
     ]
 
 
-WIDTH = 20
+def _rewritten(kind: int, text: str, turn: int) -> str | None:
+    """The same personal data in a form that a generator proposes and no base pattern accepts; None if there is none."""
+    if kind == 0:
+        local, _, domain = text.rpartition("@")
+        forms = [f"{local} at {domain.replace('.', ' dot ')}", f"{local}[at]{domain}", f"{local} (at) {domain.replace('.', ' (dot) ')}", f"{local} @ {domain}"]
+        return next((t for t in forms[turn % 4 :] + forms if _SPELT.fullmatch(t) or _SPELT_DOT.fullmatch(t)), None)
+    d = _digits(text)
+    if kind == 2:
+        return " -"[turn % 2].join(d[i : i + 4] for i in range(0, 16, 4)) if len(d) == 16 else d
+    if kind == 3 and len(d) >= 10:
+        n = d[-10:]
+        return [f"({n[:3]}) {n[3:6]}-{n[6:]}", f"{n[:3]}-{n[3:6]}-{n[6:]}", f"00{d[:-10] or '1'} {n[:3]} {n[3:6]} {n[6:]}", f"{n[:3]} {n[3:6]} {n[6:]}"][turn % 4]
+    return None
+
+
+def _beside(kind: int, before: str, after: str, turn: int) -> tuple[str, str]:
+    """The context of a number that stands beside another one: on the left, or on the right."""
+    other = ["4821", "+1 (415) 555-0100", "198.51.100.24", "20934", "5105105105105100", "7 302"][turn // 2 % 6]
+    return (f"{before} {other} "[-24:], after) if turn % 2 else (before, f" {other}{after}"[:24])
 
 
 def _spoil(kind: int, text: str, turn: int) -> str:
     """A near miss of a true span, to learn from."""
     if kind == 0:
-        return [text.replace("@", " at ", 1), text.split("@")[0] + "@" + text.split("@")[-1].split(".")[0], text.replace(".", " ")][turn % 3]
+        return [text.replace("@", " ", 1), text.split("@")[0] + "@" + text.split("@")[-1].split(".")[0], text.replace(".", " ")][turn % 3]
     if kind == 1:
         p = text.split(".")
         return [".".join([p[0], str(256 + int(p[1][-3:])), *p[2:]]), ".".join([*p[:3], p[3] + "777"]), ".".join(p[:3])][turn % 3]
@@ -269,11 +290,12 @@ def learn(docs: DataFrame, text: str = "text", most: int = MOST_CANDIDATES) -> B
                 good, failed = base_spans(body)
                 true, here, there = set(good), Cover(good), Cover(failed)
                 for kind, a, b in candidates(body, good):
-                    state = 1 if (kind, a, b) in true else 2 if there.meets(a, b) else 0
+                    # what only its form keeps from being a base match is left out too
+                    state = 1 if (kind, a, b) in true else 2 if there.meets(a, b) or valid(kind, body[a:b]) else 0
                     if state == 0 and here.meets(a, b):
                         continue
                     before, after = _sides(body, a, b)
-                    for out, v in ((kinds, kind), (spans, body[a : min(b, a + 400)]), (befores, before), (afters, after), (states, state)):
+                    for out, v in ((kinds, kind), (spans, body[a:b]), (befores, before), (afters, after), (states, state)):
                         out.append(v)
             if kinds:
                 yield pa.RecordBatch.from_arrays(
@@ -289,13 +311,23 @@ def learn(docs: DataFrame, text: str = "text", most: int = MOST_CANDIDATES) -> B
         x.append(describe(r["kind"], r["span"], r["before"], r["after"]))
         y.append(float(r["state"]))
         if r["state"]:
+            kind, sides = r["kind"], (r["before"], r["after"])
+            near, also = _beside(kind, *sides, turn), _beside(kind, *sides, turn + 7)
+            table = ("8403 2957 1160 "[-24:], " 6628 1043 7719")
+            other = _rewritten(kind, r["span"], turn)
+            if other:
+                x += [describe(kind, other, *sides), describe(kind, other, *near)]
+                y += [1.0, 1.0]
+            if kind in (2, 3):
+                x += [describe(kind, r["span"], *near), describe(kind, r["span"], *also), describe(kind, other or r["span"], *table)]
+                y += [1.0, 1.0, 0.0]
             for k in (turn, turn + 1):
-                x.append(describe(r["kind"], _spoil(r["kind"], r["span"], k), r["before"], r["after"]))
+                x.append(describe(kind, _spoil(kind, r["span"], k), *sides))
                 y.append(0.0)
     if not any(y):
         return Boosted()
     xs, ys = np.array(x), np.array(y)
-    held = np.arange(len(ys)) // 3 % 4 == 3
+    held = np.arange(len(ys)) // 8 % 4 == 3
     if held.all() or not held.any() or not ys[~held].any():
         held[:] = False
     model = boost(xs[~held], ys[~held])
@@ -313,7 +345,7 @@ def learn(docs: DataFrame, text: str = "text", most: int = MOST_CANDIDATES) -> B
 
 
 def spans_of(texts: list[str | None], model: Boosted) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, all spans) of each text. Added spans overlap neither base spans nor each other."""
+    """(base spans, all spans) of each text. Added spans pass their kind's validator and overlap neither base spans nor each other."""
     out, asked, rows = [], [], []
     for i, body in enumerate(texts):
         good, _ = base_spans(body) if body else ([], [])
@@ -322,9 +354,9 @@ def spans_of(texts: list[str | None], model: Boosted) -> list[tuple[list[Span],
             continue
         here = Cover(good)
         for kind, a, b in candidates(body, good):
-            if not here.meets(a, b):
+            if not here.meets(a, b) and valid(kind, body[a:b]):
                 asked.append((i, kind, a, b))
-                rows.append(describe(kind, body[a : min(b, a + 400)], *_sides(body, a, b)))
+                rows.append(describe(kind, body[a:b], *_sides(body, a, b)))
     if rows:
         x = np.array(rows)
         scores = model.score(x)

@@ -355,10 +355,17 @@ def test_pii(spark):
     phone = lambda: f"+1 ({rng.randrange(200, 999)}) 555-{digits(4)}"
     rows = []
     for i in range(400):
-        thing = [f"bob{i}.{i % 90}@mail{i % 7}.example.com", phone(), card(), f"{i % 200 + 1}.{i % 250}.7.{i % 99}", f"{i * 37}", f"{i}.5", digits(7), "no data"][i % 8]
+        mail = f"bob{i}.{i % 90}@mail{i % 7}.example.com" if i % 3 else f"{'abcdefgh'[i // 8 % 8] * 3}{i % 10}@site{i % 9}.net"
+        thing = [mail, phone(), card(), f"{i % 200 + 1}.{i % 250}.7.{i % 99}", f"{i * 37}", f"{i}.5", digits(7), "no data"][i % 8]
         rows.append((i, f"some words before {thing} and after."))
     pair = [(phone(), card()) for _ in range(12)]
     rows += [(1000 + i, f"words {a} {b} more") for i, (a, b) in enumerate(pair)]
+    spelt = [(f"ann{i} at mail{i} dot example dot org", f"tom{i}[at]site{i}.net", f"eve{i} (at) post{i} (dot) de")[i % 3] for i in range(30)]
+    rows += [(1100 + i, f"please write to {t} for more of it") for i, t in enumerate(spelt)]
+    plain = [f"({rng.randrange(200, 999)}) 555-{digits(4)}" for i in range(30)]
+    rows += [(1200 + i, f"please call {t} for more of it") for i, t in enumerate(plain)]
+    clean = ["look at the dot on the map", "version 10.2.300.4000 and 3.14", "pages 1000 1037 1074 1111 1148 1185 1222 1259 1296", "in 2019-2020 and 1998", "we met at noon. Dot was there"]
+    rows += [(1300 + i, t) for i, t in enumerate(clean)]
     rows += [(2000, None), (2001, ""), (2002, "1" * 100000), (2003, "a@" * 3000), (2004, "1." * 5000), (None, "x y@z.com")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1)).withColumn("n_chars", F.lit(0))
     model = pii.learn(docs)
@@ -370,12 +377,29 @@ def test_pii(spark):
     caught = [sorted((s["kind"], texts[1000 + i][s["start"] : s["end"]]) for s in found[1000 + i]["spans"]) for i in range(12)]
     assert sum(c == sorted([("card", b), ("phone", a)]) for c, (a, b) in zip(caught, pair)) >= 10
     assert all(not found[i]["spans"] for i in range(400) if i % 8 in (4, 5, 6, 7))
+    whole = lambda i, t: any(texts[i][s["start"] : s["end"]] == t for s in found[i]["spans"])
+    recall = {n: sum(whole(at + i, t) for i, t in enumerate(v)) / len(v) for n, at, v in (("spelled out", 1100, spelt), ("without a plus sign", 1200, plain))}
+    print("run together", sum(c == sorted([("card", b), ("phone", a)]) for c, (a, b) in zip(caught, pair)) / 12, recall)
+    assert min(recall.values()) >= 0.75
+    assert [found[1300 + i]["spans"] for i in range(len(clean))] == [[]] * len(clean)
     safe = {r["doc_id"]: r["text"] for r in pii.redact(docs, model).collect()}
     assert safe[0] == "some words before [EMAIL] and after." and safe[2000] is None and safe[2001] == "" and safe[7] == texts[7]
     assert pii.redact(docs, model).columns == docs.columns
     assert pii.detect(docs.limit(0), pii.learn(docs.limit(0))).count() == 0
 
 
+def test_pii_candidates_against_brute_force():
+    """What is proposed in digits is what a pattern matches at any place, looked for one by one."""
+    rng = np.random.default_rng(3)
+    parts = ["4", "411", "1111", "555", "+", "(415)", " ", "-", ".", "00", "a", "4111111111111111", "192.168.7.1", " 555-0100", "1 "]
+    for _ in range(300):
+        text = "".join(rng.choice(parts, rng.integers(1, 14)))
+        zones = [(z.start(), z.end()) for z in pii._ZONE.finditer(text)]
+        want = {(k, m.start(), m.end()) for k, p in pii._WITHIN for i in range(len(text)) if (m := p.match(text, i)) and any(a <= m.start() and m.end() <= b + 1 for a, b in zones)}
+        got = {c for c in pii.candidates(text, []) if c[0]}
+        assert {c for c in want if any(a <= c[1] and c[2] <= b for a, b in zones)} <= got <= want
+
+
 def test_pii_candidates_in_long_zones():
     """The same readings of a number table are proposed in a short and in a long line, whatever group they start at."""
     groups = [f"{1000 + 37 * k % 9000}" for k in range(400)]
