@@ -145,25 +145,22 @@ def test_substring(docs, corpus_rows):
     assert all(hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"] for r in rows if r["n_removed"])
 
 
-def test_substring_hot_anchor(spark, corpus_rows, tmp_path):
-    """Anchors in many documents go by single windows, with the same result."""
-    segments = {}
-    rng = np.random.default_rng(1)
-    passage = rng.integers(1, 1 << 63, 60, dtype=np.uint64)
-    for key in range(6):
-        text = np.concatenate([rng.integers(1, 1 << 63, 7 * key, dtype=np.uint64), passage, rng.integers(1, 1 << 63, 9, dtype=np.uint64)])
-        for w in range(len(text) - 49):
-            segments.setdefault(substring._pack(text[w : w + 50]), []).append((key, 77, w))
-    keys = list(segments)
-    table = pa.table({
-        "shard": [0], "words": [b"".join(keys)], "lengths": [np.full(len(keys), 50, np.int32).tobytes()],
-        "holders": [np.array([h for k in keys for h in segments[k]], np.int64).tobytes()], "sizes": [np.array([len(segments[k]) for k in keys], np.int32).tobytes()],
-    })
-    out = {}
-    for r in substring.repeated(table).to_pylist():
-        for a, b in np.frombuffer(r["ranges"], np.int32).reshape(-1, 2):
-            out.setdefault(r["doc_id"], set()).update(range(a, b))
-    assert out == {key: set(range(7 * key, 7 * key + 60)) for key in range(1, 6)}
+@pytest.mark.parametrize("hot,at", [(3, 50), (1, 1_000_000)])
+def test_substring_hot_anchor(spark, docs, corpus_rows, monkeypatch, hot, at):
+    """Anchors in many documents go by single windows, combined in small batches, with the same result."""
+    monkeypatch.setattr(substring, "HOT", hot)
+    monkeypatch.setattr(substring, "ANCHORS_AT", at)
+    monkeypatch.setattr(substring, "SEGMENTS_AT", 20_000)
+    rows = substring.without_repeats(docs).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows} == brute_removed(corpus_rows)
+
+
+def test_substring_names_that_collide(spark, docs, corpus_rows, monkeypatch):
+    """Classes that get one name are named anew."""
+    class_of = substring.class_of
+    monkeypatch.setattr(substring, "class_of", lambda hashes, salt=0: class_of(hashes, salt) % 5 if salt == 0 else class_of(hashes, salt))
+    rows = substring.without_repeats(docs).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows} == brute_removed(corpus_rows)
 
 
 def test_substring_defined_cases(spark, no_docs):
