@@ -5,9 +5,12 @@ A builder collects documents; ``finalize`` turns them into tables that stay as t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +81,8 @@ class Corpus:
     doc_vectors: DataFrame
     doc_mean: np.ndarray | None
     labels: DataFrame | None = None
+    #: (doc_id, terms, q, inv_mag): the index by document, for scoring where the documents lie.
+    forward: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
@@ -99,6 +104,19 @@ class Corpus:
 
         return self.vocab.filter(F.col("token") == token).join(self.enriched, "token").select("token", "idf", dequantize("q").alias("vec"))
 
+    def tokens_at(self) -> DataFrame:
+        """(token_id, token, idf, vec) of all tokens, numbered from 0 by first occurrence; needs the index."""
+        from semaloom.functions.vectors import dequantize
+
+        if self.forward is None:
+            raise CorpusStateError("a corpus without an index does not know where tokens occur")
+        ids = first_seen(self.forward.select("doc_id", F.col("terms").alias("tokens")))
+        return ids.join(self.vocab, "token").join(self.enriched, "token").select("token_id", "token", "idf", dequantize("q").alias("vec"))
+
+    def token_at(self, i: int) -> DataFrame:
+        """(token_id, token, idf, vec) of the i-th token; no row if there is none."""
+        return self.tokens_at().filter(F.col("token_id") == i)
+
     def check(self, config: EngineConfig) -> None:
         """Refuse settings that change vectors and differ from those of the build."""
         same = lambda c: (c.dim, c.idf, c.abbrev)
@@ -155,10 +173,17 @@ class CorpusBuilder:
         vocab = cut(vocab_of(postings, n))
         sources = provider.vectors(vocab)
         enriched = cut(cooccurrence.enrich(docs, sources, config.dim) if config.ri else token_vectors(sources, config.dim))
-        vectors, mean = doc_vectors(postings, vocab, enriched, docs.select("doc_id"), n, config)
+        if vocab.count() * config.dim <= GATHER_BYTES:
+            units = gathered(docs, vocab, enriched, config)
+        else:
+            units = summed(postings, vocab, enriched, docs.select("doc_id"), config)
+        vectors, mean = doc_vectors(units, n, config)
         self._corpus = Corpus(config, n, vocab, postings if config.index else None, enriched, vectors, mean, docs.select("doc_id", "label") if labelled else None)
         if config.sparse_nnz:
             self._corpus = sparse(self._corpus)
+        if config.index:
+            terms = docs.select("doc_id", F.array_distinct(F.filter("tokens", lambda t: t.isNotNull())).alias("terms"))
+            self._corpus = replace(self._corpus, forward=cut(terms.join(self._corpus.doc_vectors, "doc_id")))
         return self._corpus
 
 
@@ -167,16 +192,53 @@ def token_vectors(sources: DataFrame, dim: int) -> DataFrame:
     return dense.map_vectors(sources, "token", "vec", dim, lambda x: dense.to_int8(dense.unit(x)), "tinyint").withColumnRenamed("vec", "q")
 
 
-def doc_vectors(postings: DataFrame, vocab: DataFrame, enriched: DataFrame, ids: DataFrame, n: int, config: EngineConfig) -> tuple[DataFrame, np.ndarray | None]:
-    """((doc_id, q, inv_mag), mean): IDF-weighted sums over occurrences, made unit, centred, quantized."""
+#: Token vectors of at most so many bytes are sent to the tasks that add them up; larger tables are joined with the postings.
+GATHER_BYTES = 64 << 20
+#: Tokens whose vectors are added up at a time.
+GATHER_TOKENS = 16384
+
+
+def gathered(docs: DataFrame, vocab: DataFrame, enriched: DataFrame, config: EngineConfig) -> DataFrame:
+    """(doc_id, vec): IDF-weighted sums over occurrences, made unit. Every task looks its tokens up; nothing is shuffled."""
+    dim = config.dim
+    got = vocab.join(enriched, "token").select("token", "idf", "q").toArrow()
+    idf = got.column("idf").to_numpy() if config.idf else np.ones(got.num_rows)
+    shared = docs.sparkSession.sparkContext.broadcast((got.column("token").combine_chunks(), idf / 127.0, dense.matrix(got.column("q").combine_chunks(), dim, np.int8)))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weight, q = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(1)
+            place = pc.index_in(lists.flatten(), value_set=known)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            some = place.is_valid().to_numpy(zero_copy_only=False)
+            place, row = place.drop_null().to_numpy(), row[some]
+            sums = np.zeros((batch.num_rows, dim))
+            for at in range(0, len(place), GATHER_TOKENS):
+                p, r = place[at : at + GATHER_TOKENS], row[at : at + GATHER_TOKENS]
+                first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+                sums[r[first]] += np.add.reduceat(q[p] * weight[p, None], first)
+            yield pa.RecordBatch.from_arrays([batch.column(0), dense.lists(dense.unit(sums))], names=["doc_id", "vec"])
+
+    return cut(docs.select("doc_id", "tokens").mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, vec array<double>"))
+
+
+def summed(postings: DataFrame, vocab: DataFrame, enriched: DataFrame, ids: DataFrame, config: EngineConfig) -> DataFrame:
+    """The same by joining postings with token vectors, for vocabularies that no task should hold."""
     dim = config.dim
     weight = F.col("tf") * (F.col("idf") if config.idf else F.lit(1.0)) / 127.0
     rows = postings.join(vocab.select("token", "idf"), "token").join(enriched, "token").withColumn("_w", weight)
     sums = dense.weighted_sum(rows, "doc_id", "q", "_w", dim)
     whole = ids.join(sums, "doc_id", "left").select("doc_id", F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("vec"))
-    units = cut(dense.map_vectors(whole, "doc_id", "vec", dim, dense.unit, "double"))
+    return cut(dense.map_vectors(whole, "doc_id", "vec", dim, dense.unit, "double"))
+
+
+def doc_vectors(units: DataFrame, n: int, config: EngineConfig) -> tuple[DataFrame, np.ndarray | None]:
+    """((doc_id, q, inv_mag), mean) of unit vectors: centred, quantized."""
     mean = dense.mean_vector(units, "vec") if n >= 2 else None
-    return cut(quantized(units, "doc_id", dim, mean)), mean
+    return cut(quantized(units, "doc_id", config.dim, mean)), mean
 
 
 def quantized(units: DataFrame, key: str, dim: int, mean: np.ndarray | None) -> DataFrame:

@@ -10,10 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semaloom.config import CANDIDATES, Mode
+from semaloom.functions import vectors as V
 from semaloom.functions.text import tokenize
 from semaloom.operators import dense
 from semaloom.operators.corpus import Corpus
@@ -119,25 +121,109 @@ def brute(corpus: Corpus, vectors: DataFrame, k: int) -> DataFrame:
     return best(whole, k)
 
 
+#: Queries that a scan of the documents' terms takes at a time.
+QUERIES = 512
+
+
+def _scan(corpus: Corpus, queries: DataFrame, limit: int, vectors: DataFrame | None, squared: bool) -> DataFrame:
+    """(query_id, doc_id, score, vector): the ``limit`` best documents by weight of common terms, with their vector scores.
+
+    Documents are scored where they lie: a task looks the queries' terms up in the index by
+    document, and gives its own ``limit`` best of each query. So rows that are shuffled follow the
+    limit, not the frequency of the terms. ``vector`` is null without ``vectors`` and for zero queries.
+    """
+    schema = "query_id long, doc_id long, score double, vector double"
+    spark = corpus.spark
+    if corpus.forward is None or limit <= 0:
+        return spark.createDataFrame([], schema)
+    terms = _terms(corpus, queries)
+    asked = queries.select("query_id").distinct() if vectors is None else vectors.select("query_id", "q", "inv_mag")
+    terms = cut(terms.join(asked, "query_id", "left") if vectors is not None else terms)
+    blocks = -(-terms.select("query_id").distinct().count() // QUERIES)
+    parts = []
+    for i in range(blocks):
+        got = (terms if blocks == 1 else terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).toArrow().sort_by([("token", "ascending"), ("query_id", "ascending")])
+        if not got.num_rows:
+            continue
+        ids, query = np.unique(got.column("query_id").to_numpy(), return_inverse=True)
+        tokens = got.column("token").combine_chunks().dictionary_encode()
+        idf, n = got.column("idf").to_numpy(), got.column("n").to_numpy()
+        weight = n * idf * idf if squared else n * idf
+        starts = np.searchsorted(tokens.indices.to_numpy(), np.arange(len(tokens.dictionary) + 1))
+        mass = np.bincount(query, weight, len(ids))
+        q = inv = None
+        if vectors is not None:
+            _, first = np.unique(query, return_index=True)
+            rows = got.take(pa.array(first))
+            q, inv = np.array(rows.column("q").to_pylist(), np.float64), rows.column("inv_mag").to_numpy()
+        shared = spark.sparkContext.broadcast((ids, tokens.dictionary, starts, query, weight, mass, q, inv))
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, known, starts, query, weight, mass, q, inv = shared.value
+            held: list[np.ndarray] = []
+            count = 0
+
+            def best_of() -> np.ndarray:
+                rows = np.concatenate(held)
+                rows = rows[np.lexsort((rows["doc"], -rows["score"], rows["query"]))]
+                first = np.searchsorted(rows["query"], np.arange(len(ids)))
+                return rows[np.arange(len(rows)) - first[rows["query"]] < limit]
+
+            for batch in batches:
+                for at in range(0, batch.num_rows, 2048):
+                    part = batch.slice(at, 2048)
+                    docs, lists = part.column(0).to_numpy(), part.column(1)
+                    place = pc.index_in(lists.flatten(), value_set=known)
+                    doc = np.repeat(np.arange(len(docs)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                    doc, place = doc[place.is_valid().to_numpy(zero_copy_only=False)], place.drop_null().to_numpy()
+                    # every term of a document meets the queries that have it
+                    many = starts[place + 1] - starts[place]
+                    entry = np.arange(many.sum()) + np.repeat(starts[place] - np.concatenate(([0], np.cumsum(many)[:-1])), many) if len(place) else np.zeros(0, np.int64)
+                    cell = query[entry] * len(docs) + np.repeat(doc, many)
+                    sums = np.bincount(cell, weight[entry], len(ids) * len(docs))
+                    a, b = np.divmod(np.flatnonzero(np.bincount(cell, minlength=len(ids) * len(docs))), len(docs))
+                    score = sums[a * len(docs) + b]
+                    if squared:
+                        whole = mass[a]
+                        with np.errstate(divide="ignore", invalid="ignore"):
+                            score = np.where((whole > 0) & (score > 0), score / (np.sqrt(whole) * np.sqrt(score)), 0.0)
+                    rows = np.empty(len(a), [("query", "i8"), ("doc", "i8"), ("score", "f8"), ("vector", "f8")])
+                    # rounded, so that ties don't depend on the order of addition
+                    rows["query"], rows["doc"], rows["score"], rows["vector"] = a, docs[b], np.round(score, 9), np.nan
+                    if q is not None:
+                        found = _unit_scores(q @ dense.matrix(part.column(2), q.shape[1]).T, inv[:, None], part.column(3).to_numpy()[None, :])
+                        rows["vector"] = np.where(inv[a] > 0, found[a, b], np.nan)
+                    held.append(rows)
+                    count += len(rows)
+                    if count > 2 * limit * len(ids):
+                        held = [best_of()]
+                        count = len(held[0])
+            if held:
+                rows = best_of()
+                for at in range(0, len(rows), 65536):
+                    part = rows[at : at + 65536]
+                    vector = pa.array(part["vector"], mask=np.isnan(part["vector"]))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[part["query"]]), pa.array(part["doc"].copy()), pa.array(part["score"].copy()), vector], names=["query_id", "doc_id", "score", "vector"])
+
+        columns = ["doc_id", "terms", "q", "inv_mag"] if vectors is not None else ["doc_id", "terms"]
+        parts.append(corpus.forward.select(*columns).mapInArrow(work, schema))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
+    return whole.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= limit).drop("_r")
+
+
 def keyword_candidates(corpus: Corpus, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """(query_id, doc_id, score): documents with a query token; score is the sum of their IDFs, repeats counted."""
-    if corpus.postings is None:
-        return corpus.spark.createDataFrame([], "query_id long, doc_id long, score double")
-    met = _terms(corpus, queries).join(corpus.postings.select("token", "doc_id"), "token")
-    # rounded, so that ties don't depend on the order of addition
-    scored = met.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("n") * F.col("idf")), 9).alias("score"))
-    return best(scored, limit).select("query_id", "doc_id", "score")
+    return _scan(corpus, queries, limit, None, False).drop("vector")
 
 
 def tfidf_candidates(corpus: Corpus, queries: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     """(query_id, doc_id, score): matched IDF mass over the geometric mean of query and matched mass."""
-    if corpus.postings is None:
-        return corpus.spark.createDataFrame([], "query_id long, doc_id long, score double")
-    terms = _terms(corpus, queries).withColumn("w", F.col("n") * F.col("idf") * F.col("idf"))
-    mass = terms.groupBy("query_id").agg(F.sum("w").alias("whole"))
-    met = terms.join(corpus.postings.select("token", "doc_id"), "token").groupBy("query_id", "doc_id").agg(F.sum("w").alias("part"))
-    score = F.when((F.col("whole") > 0) & (F.col("part") > 0), F.round(F.col("part") / (F.sqrt("whole") * F.sqrt("part")), 9)).otherwise(F.lit(0.0))
-    return best(met.join(mass, "query_id").withColumn("score", score), limit).select("query_id", "doc_id", "score")
+    return _scan(corpus, queries, limit, None, True).drop("vector")
 
 
 def candidate_count(corpus: Corpus, queries: DataFrame) -> DataFrame:
@@ -147,32 +233,11 @@ def candidate_count(corpus: Corpus, queries: DataFrame) -> DataFrame:
 
 
 def rerank(corpus: Corpus, vectors: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """The k best candidates by vector score; queries with a zero vector have none."""
-    parts = []
-    for ids, q, inv in _blocks(vectors.filter("inv_mag > 0")):
-        order = np.argsort(ids)
-        shared = corpus.spark.sparkContext.broadcast((ids[order], q[order].astype(np.float64), inv[order]))
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q, inv = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own = batch.column(0).to_numpy()
-                at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-                here = ids[at] == own
-                d = dense.matrix(batch.column(2), q.shape[1])
-                scores = _unit_scores((q[at] * d).sum(1), inv[at], batch.column(3).to_numpy())
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(here)) for c in (batch.column(0), batch.column(1), pa.array(scores))], names=["query_id", "doc_id", "score"])
-
-        rows = candidates.select("query_id", "doc_id").join(corpus.doc_vectors, "doc_id").select("query_id", "doc_id", "q", "inv_mag")
-        parts.append(rows.mapInArrow(work, "query_id long, doc_id long, score double"))
-    if not parts:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return best(whole, k)
+    """The k best of any candidates (query_id, doc_id) by vector score; queries with a zero vector have none."""
+    asked = vectors.filter("inv_mag > 0").select("query_id", F.col("q").alias("_q"), F.col("inv_mag").alias("_inv"))
+    rows = candidates.select("query_id", "doc_id").join(corpus.doc_vectors, "doc_id").join(asked, "query_id")
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (V.int8_dot(F.col("_q"), F.col("q")).cast("double") * F.col("_inv") * F.col("inv_mag") + 1.0) / 2.0))
+    return best(rows.select("query_id", "doc_id", F.when(F.col("inv_mag") > 0, score).otherwise(F.lit(0.0)).alias("score")), k)
 
 
 def search(corpus: Corpus, queries: DataFrame, k: int, mode: Mode | None = None, text: str = "text") -> DataFrame:
@@ -188,8 +253,10 @@ def search(corpus: Corpus, queries: DataFrame, k: int, mode: Mode | None = None,
     if mode is Mode.BRUTE:
         return brute(corpus, vectors, k)
     limit = max(corpus.config.candidates, 0)
-    found = cut((tfidf_candidates if mode is Mode.TFIDF else keyword_candidates)(corpus, tokens, limit))
-    ranked = rerank(corpus, vectors, found, k)
+    found = _scan(corpus, tokens, limit, vectors, mode is Mode.TFIDF)
+    if mode is not Mode.FAST:
+        found = cut(found)
+    ranked = best(found.filter("vector is not null").select("query_id", "doc_id", F.col("vector").alias("score")), k)
     if mode is Mode.FAST:
         return ranked
     counts = found.groupBy("query_id").count()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from semaloom.config import EngineConfig
 from semaloom.operators.corpus import Corpus
 
-VERSION = 3
+VERSION = 4
 _FIELDS = {"version", "config", "n_docs", "n_tokens", "has_mean", "has_labels", "has_index"}
 
 
@@ -29,9 +29,14 @@ def _system(spark: SparkSession, name: str):
 
 
 def save(corpus: Corpus, folder: str) -> None:
-    """Write all tables beside ``folder``, then rename, so that a reader sees all or nothing."""
+    """Write all tables to a new folder within ``folder``, then name it in ``current``.
+
+    ``current`` is replaced by a rename that overwrites, so a reader sees the old corpus or the new
+    one, and a writer that dies leaves the old one. Folders that are no longer named are removed last.
+    """
     spark = corpus.spark
-    temp = f"{folder.rstrip('/')}.{uuid.uuid4().hex}.tmp"
+    name = f"v{uuid.uuid4().hex}"
+    temp = f"{folder.rstrip('/')}/{name}"
     about = {
         "version": VERSION, "config": json.loads(corpus.config.to_json()), "n_docs": corpus.n_docs, "n_tokens": corpus.n_tokens,
         "has_mean": corpus.doc_mean is not None, "has_labels": corpus.labels is not None, "has_index": corpus.postings is not None,
@@ -42,20 +47,36 @@ def save(corpus: Corpus, folder: str) -> None:
     if corpus.postings is not None:
         # clustered by token, so that a query's row groups are few
         corpus.postings.repartitionByRange("token").sortWithinPartitions("token", "doc_id").write.parquet(f"{temp}/postings")
+        corpus.forward.write.parquet(f"{temp}/forward")
     if corpus.labels is not None:
         corpus.labels.write.parquet(f"{temp}/labels")
     if corpus.doc_mean is not None:
         spark.createDataFrame([([float(x) for x in corpus.doc_mean],)], "mean array<double>").write.parquet(f"{temp}/doc_mean")
     spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.text(f"{temp}/about")
-    system = _system(spark, folder)
-    system.delete(_path(spark, folder), True)
-    if not system.rename(_path(spark, temp), _path(spark, folder)):
-        raise OSError(f"{temp} could not be renamed to {folder}")
+    jvm, system = spark._jvm, _system(spark, folder)
+    fresh = f"{folder.rstrip('/')}/{name}.current"
+    out = system.create(_path(spark, fresh), True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration())
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    whole = lambda p: system.makeQualified(_path(spark, p))
+    files.rename(whole(fresh), whole(f"{folder.rstrip('/')}/current"), over)
+    for status in system.listStatus(_path(spark, folder)):
+        if status.isDirectory() and status.getPath().getName() != name:
+            system.delete(status.getPath(), True)
+
+
+def current(spark: SparkSession, folder: str) -> str:
+    """The folder of the tables that ``folder`` names."""
+    return f"{folder.rstrip('/')}/{spark.read.text(f'{folder}/current', wholetext=True).first()[0].strip()}"
 
 
 def load(spark: SparkSession, folder: str, check: bool = True) -> Corpus:
     """The corpus in ``folder``; its settings are adopted. Anything wrong raises CorpusFormatError."""
     try:
+        folder = current(spark, folder)
         about = json.loads(spark.read.text(f"{folder}/about", wholetext=True).first()[0])
         if set(about) != _FIELDS:
             raise CorpusFormatError(f"unknown or missing fields: {sorted(set(about) ^ _FIELDS)}")
@@ -66,7 +87,7 @@ def load(spark: SparkSession, folder: str, check: bool = True) -> Corpus:
         mean = np.array(table("doc_mean").first()["mean"]) if about["has_mean"] else None
         corpus = Corpus(
             config, about["n_docs"], table("vocab"), table("postings") if about["has_index"] else None, table("enriched"), table("doc_vectors"), mean,
-            table("labels") if about["has_labels"] else None,
+            table("labels") if about["has_labels"] else None, table("forward") if about["has_index"] else None,
         )
     except CorpusFormatError:
         raise
@@ -104,6 +125,9 @@ def validate(corpus: Corpus, n_tokens: int | None = None) -> None:
         none(corpus.postings.groupBy("token", "doc_id").count().filter("count > 1").limit(1), "a posting is listed twice")
         none(corpus.postings.join(corpus.vocab, "token", "left_anti").limit(1), "a posting has no token")
         none(corpus.postings.join(corpus.doc_vectors, "doc_id", "left_anti").limit(1), "a posting has no document")
+        listed = corpus.forward.select("doc_id", F.explode("terms").alias("token"))
+        if corpus.forward.count() != n or listed.count() != corpus.postings.count() or not listed.join(corpus.postings, ["doc_id", "token"], "left_anti").isEmpty():
+            raise CorpusFormatError("the indexes by token and by document differ")
     if corpus.labels is not None and (corpus.labels.count() != n or not corpus.labels.filter("label is null").isEmpty()):
         raise CorpusFormatError("labels and documents differ in number")
 

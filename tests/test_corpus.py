@@ -36,6 +36,36 @@ def test_first_seen(spark):
     assert got == {"alpha": 0, "beta": 1, "gamma": 2, "delta": 3}
 
 
+def test_token_at(spark):
+    c = build(spark, [["alpha", "beta"], ["alpha", "gamma", None], ["delta", "beta"]])
+    got = {r["token_id"]: r for r in c.tokens_at().collect()}
+    assert [got[i]["token"] for i in range(4)] == ["alpha", "beta", "gamma", "delta"] and len(got) == 4
+    one = c.token_at(2).first()
+    assert one["token"] == "gamma" and one["idf"] == pytest.approx(math.log(3)) and len(one["vec"]) == 16
+    assert c.token_at(4).count() == 0 and c.token_at(-1).count() == 0
+    with pytest.raises(C.CorpusStateError):
+        build(spark, [["alpha"]], index=False).token_at(0)
+
+
+def test_sums_by_join_and_by_gathering_agree(spark, monkeypatch):
+    docs = [t.split() for t in DEMO] + [["handle", None, "handle"]]
+    a = {r["doc_id"]: (r["q"], r["inv_mag"]) for r in build(spark, docs).doc_vectors.collect()}
+    monkeypatch.setattr(C, "GATHER_BYTES", 0)
+    assert {r["doc_id"]: (r["q"], r["inv_mag"]) for r in build(spark, docs).doc_vectors.collect()} == a
+
+
+def test_candidates_in_blocks_of_queries(spark, monkeypatch):
+    """The same candidates whether queries are taken together or one by one; the limit is kept."""
+    c = build(spark, [t.split() for t in DEMO] * 30)
+    tokens = S.query_tokens(c, ask(spark, ["handle request file buffer", "read file", "memory", "nothing known"]))
+    for find in (S.keyword_candidates, S.tfidf_candidates):
+        whole = sorted(map(tuple, find(c, tokens, 40).collect()))
+        monkeypatch.setattr(S, "QUERIES", 1)
+        assert sorted(map(tuple, find(c, tokens, 40).collect())) == whole
+        monkeypatch.undo()
+        assert max(sum(r[0] == q for r in whole) for q in range(3)) == 40 and len({r[0] for r in whole}) == 3
+
+
 def test_rejects(spark):
     docs = frame(spark, [["a1"], [], ["b1"] * 600, ["c1", None]])
     assert {r[0]: r[1] for r in C.doc_map(docs).collect()} == {0: 0, 1: -1, 2: -1, 3: 1}

@@ -54,10 +54,11 @@ def test_save_again(spark, saved):
     ("postings", lambda df: df.unionByName(df.limit(1))),
     ("postings", lambda df: df.withColumn("doc_id", F.col("doc_id") + 5)),
     ("postings", lambda df: df.withColumn("token", F.lit("zz"))),
+    ("forward", lambda df: df.withColumn("terms", F.slice("terms", 1, 1))),
     ("doc_mean", lambda df: df.withColumn("mean", F.array(F.lit(1.0)))),
     ("labels", lambda df: df.limit(2)),
     ("about", lambda df: df.withColumn("value", F.lit("{}"))),
-    ("about", lambda df: df.withColumn("value", F.regexp_replace("value", '"version": 3', '"version": 2'))),
+    ("about", lambda df: df.withColumn("value", F.regexp_replace("value", '"version": 4', '"version": 2'))),
 ])
 def test_corruption(spark, saved, tmp_path, table, change):
     import shutil
@@ -65,12 +66,25 @@ def test_corruption(spark, saved, tmp_path, table, change):
     _, folder = saved
     bad = str(tmp_path / "bad")
     shutil.copytree(folder, bad)
+    whole, folder, bad = bad, store.current(spark, folder), store.current(spark, bad)
     read = (lambda p: spark.read.text(p)) if table == "about" else (lambda p: spark.read.parquet(p))
     changed = change(read(f"{folder}/{table}"))
     shutil.rmtree(f"{bad}/{table}")
     changed.write.text(f"{bad}/{table}") if table == "about" else changed.write.parquet(f"{bad}/{table}")
     with pytest.raises(store.CorpusFormatError):
-        store.load(spark, bad)
+        store.load(spark, whole)
+
+
+def test_a_writer_that_dies_leaves_the_old_corpus(spark, saved, tmp_path, monkeypatch):
+    import shutil
+
+    corpus, folder = saved
+    shutil.copytree(folder, kept := str(tmp_path / "kept"))
+    monkeypatch.setattr(store, "json", None)
+    with pytest.raises(AttributeError):
+        store.save(corpus, kept)
+    monkeypatch.undo()
+    assert store.load(spark, kept).n_docs == 10
 
 
 def test_missing(spark, tmp_path):
