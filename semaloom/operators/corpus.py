@@ -193,7 +193,7 @@ def token_vectors(sources: DataFrame, dim: int) -> DataFrame:
 
 
 #: Token vectors of at most so many bytes are sent to the tasks that add them up; larger tables are joined with the postings.
-GATHER_BYTES = 64 << 20
+GATHER_BYTES = 192 << 20
 #: Tokens whose vectors are added up at a time.
 GATHER_TOKENS = 16384
 

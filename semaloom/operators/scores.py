@@ -48,17 +48,16 @@ def _against(query: DataFrame, functions: DataFrame) -> DataFrame:
 
 def _ranked(scored: DataFrame, k: int | None, least: float | None) -> DataFrame:
     rows = scored.filter(F.col("score") >= least) if least is not None else scored
-    rows = rows.orderBy(F.desc("score"), F.asc("node_id"))
-    return rows.limit(k) if k is not None else rows
+    return rows if k is None else rows.orderBy(F.desc("score"), F.asc("node_id")).limit(k)
 
 
-def search(query: DataFrame, functions: DataFrame, k: int, least: float = 0.0, config: EngineConfig | None = None) -> DataFrame:
-    """(node_id, score) of the k best by combined score of at least ``least``; ``rank`` is a search from 0."""
+def search(query: DataFrame, functions: DataFrame, k: int | None, least: float = 0.0, config: EngineConfig | None = None) -> DataFrame:
+    """(node_id, score) of the k best by combined score of at least ``least``, or of all in any order where k is None; ``rank`` is a search from 0."""
     scored = _against(query, functions).select(F.col("b.node_id").alias("node_id"), combined_score("a", "b", config or EngineConfig()).alias("score"))
     return _ranked(scored, k, least)
 
 
-def simple_search(query: DataFrame, functions: DataFrame, k: int, least: float = 0.0) -> DataFrame:
+def simple_search(query: DataFrame, functions: DataFrame, k: int | None, least: float = 0.0) -> DataFrame:
     """The same by simple score."""
     scored = _against(query, functions).select(F.col("b.node_id").alias("node_id"), simple_score(F.col("a.ri"), F.col("b.ri"), F.col("a.file_path"), F.col("b.file_path")).alias("score"))
     return _ranked(scored, k, least)

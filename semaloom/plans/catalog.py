@@ -274,13 +274,13 @@ def _one(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH {_F} SELECT node_id, round({_SIMPLE}, 6) AS score FROM f, one")
 def simple_score(spark, d):
     q, f = _one(spark, d)
-    return scores.simple_search(q, f, 1 << 30).select("node_id", F.round("score", 6).alias("score"))
+    return scores.simple_search(q, f, None).select("node_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_F} SELECT node_id, round({_COMBINED}, 6) AS score FROM f, one")
 def combined_score(spark, d):
     q, f = _one(spark, d)
-    return scores.search(q, f, 1 << 30, 0.0).select("node_id", F.round("score", 6).alias("score"))
+    return scores.search(q, f, None, 0.0).select("node_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_F} SELECT node_id, round({_COMBINED}, 6) AS score FROM f, one ORDER BY {_COMBINED} DESC, node_id LIMIT 10")
@@ -472,13 +472,28 @@ def rri_pass2_documents(spark, d):
     return second.select("token", F.posexplode("q").alias("d", "q")).withColumn("q", F.col("q").cast("long"))
 
 
-@query()
+def _attention(rounds: int = 3, most: int = 32) -> str:
+    """Rounds of moving each vector towards the mean of its nearest ones."""
+    ctes = ["v0 AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"]
+    for r in range(rounds):
+        ctes.append(f"u{r} AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt({sql.dot('v', 'v')})) AS u FROM v{r})")
+        ctes.append(f"e{r} AS (SELECT a.vec_id, b.vec_id AS near FROM u{r} a JOIN u{r} b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.u, b.u) DESC, b.vec_id) <= {most})")
+        ctes.append(f"x{r} AS (SELECT vec_id, unnest(range(64)) AS i, unnest(v) AS x FROM v{r})")
+        ctes.append(f"m{r} AS (SELECT e.vec_id, i, avg(x) AS m FROM e{r} e JOIN x{r} x ON x.vec_id = e.near GROUP BY e.vec_id, i)")
+        ctes.append(f"y{r} AS (SELECT vec_id, i, 0.7::DOUBLE * x + 0.3::DOUBLE * m AS y FROM x{r} JOIN m{r} USING (vec_id, i))")
+        ctes.append(f"v{r + 1} AS (SELECT vec_id, list(y ORDER BY i) AS v FROM (SELECT vec_id, i, y / sqrt(sum(y * y) OVER (PARTITION BY vec_id)) AS y FROM y{r}) GROUP BY vec_id)")
+    return "WITH " + ", ".join(c.replace(" AS (", " AS MATERIALIZED (", 1) for c in ctes) + f" SELECT vec_id, unnest(range(64))::INTEGER AS i, unnest(list_transform(v, lambda x: round(x, 6))) AS x FROM v{rounds}"
+
+
+@query(_attention())
 def simulated_attention(spark, d):
     v = graph.attend(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 64)
     return v.select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-@query()
+@query(f"""WITH {sql.vectors(DIM)}, s AS (SELECT doc_id, d, sum(tf / 127.0::DOUBLE * q) AS x FROM post JOIN enr USING (token) GROUP BY ALL),
+n AS (SELECT doc_id, round(sqrt(sum(x * x)), 6) AS size FROM s GROUP BY doc_id)
+SELECT doc_id, terms, size FROM (SELECT doc_id, count(*)::INTEGER AS terms FROM post GROUP BY doc_id) JOIN n USING (doc_id)""")
 def describe_functions(spark, d):
     docs = cut(_docs(spark, d))
     c = corpus.CorpusBuilder(spark, EngineConfig.of(DIM, abbrev=False)).add_tokens(docs).finalize(DigestVectors(DIM))
@@ -493,13 +508,109 @@ def chunk_source(spark, d):
     return chunked(files, 512).select("path", "chunk_no", F.octet_length("content").alias("bytes"))
 
 
-@query()
+#: The pieces that unknown tokens are composed of here: tokens of two documents or more. ``walk`` goes through a token piece by piece.
+_PIECES = """known AS MATERIALIZED (SELECT token AS piece, length(token) AS len FROM vocab WHERE df >= 2 AND length(token) <= 24),
+spots AS (SELECT token, spot, unnest(range(1, least(24, length(token) - spot + 1) + 1)) AS len FROM (SELECT token, unnest(range(1, length(token) + 1)) AS spot FROM vocab)),
+subs AS MATERIALIZED (SELECT token, spot, max(s.len) AS len FROM spots s JOIN known k ON k.piece = substr(token, spot, s.len) GROUP BY token, spot),
+walk AS (SELECT token, 1::BIGINT AS spot, 0 AS n, []::VARCHAR[] AS pieces FROM vocab
+  UNION ALL SELECT w.token, w.spot + coalesce(s.len, 1), w.n + (s.len IS NOT NULL)::INT, CASE WHEN s.len IS NULL THEN w.pieces ELSE list_append(w.pieces, substr(w.token, w.spot, s.len)) END
+  FROM walk w LEFT JOIN subs s ON s.token = w.token AND s.spot = w.spot WHERE w.spot <= length(w.token) AND w.n < 8),
+cutup AS MATERIALIZED (SELECT token, pieces FROM walk WHERE spot > length(token) OR n = 8)"""
+
+
+@query(f"WITH RECURSIVE {sql.documents()}, {_PIECES} SELECT token, array_to_string(pieces, ' ') AS pieces FROM cutup")
 def subword_decompose(spark, d):
     from semaloom.sources.token_vectors import decompose
 
     c = _corpus(spark, d)
-    known = [r[0] for r in c.vocab.filter(F.length("token") <= 4).orderBy(F.desc("df"), "token").limit(500).collect()]
-    return decompose(c.vocab, known).select("token", F.array_join("pieces", " ").alias("pieces"))
+    return decompose(c.vocab, c.vocab.filter((F.col("df") >= 2) & (F.length("token") <= 24)).select("token")).select("token", F.array_join("pieces", " ").alias("pieces"))
+
+
+@query(f"""WITH RECURSIVE {sql.vectors(DIM)}, {_PIECES}, parts AS (SELECT token, unnest(pieces) AS piece FROM cutup),
+summed AS (SELECT parts.token, d, sum(q / 127.0::DOUBLE) AS x FROM parts JOIN enr ON enr.token = parts.piece GROUP BY ALL),
+made AS (SELECT token, d, CASE WHEN sqrt(sum(x * x) OVER (PARTITION BY token)) >= 1e-10 THEN x / sqrt(sum(x * x) OVER (PARTITION BY token)) ELSE 0 END AS x FROM summed)
+SELECT token, d::INTEGER AS d, round(CASE WHEN k.piece IS NOT NULL THEN e.q / 127.0::DOUBLE ELSE coalesce(made.x, 0) END, 6) + 0.0::DOUBLE AS x
+FROM enr e LEFT JOIN known k ON k.piece = e.token LEFT JOIN made USING (token, d)""")
+def pretrained_vectors(spark, d):
+    """A table of vectors for tokens of two documents or more; others are composed of its pieces."""
+    from semaloom.sources.token_vectors import TableVectors
+
+    c = _corpus(spark, d)
+    listed = c.vocab.filter((F.col("df") >= 2) & (F.length("token") <= 24)).join(c.enriched, "token").select("token", F.col("q").alias("vec"))
+    return TableVectors(cut(listed), DIM).vectors(c.vocab).select("token", F.posexplode("vec").alias("d", "x")).withColumn("x", F.round("x", 6) + F.lit(0.0))
+
+
+@query(f"""WITH {sql.vectors(DIM)}, pos AS (SELECT doc_id, unnest(tokens) AS token, unnest(range(len(tokens))) AS i FROM tok),
+ids AS (SELECT token, (row_number() OVER (ORDER BY d, i) - 1)::BIGINT AS token_id FROM (SELECT token, min(doc_id) AS d, arg_min(i, (doc_id, i)) AS i FROM pos GROUP BY token))
+SELECT token_id, token, round(idf, 6) AS idf, round(sum(q / 127.0::DOUBLE), 6) + 0.0::DOUBLE AS total FROM ids JOIN vocab USING (token) JOIN enr USING (token) GROUP BY ALL""")
+def token_by_index(spark, d):
+    return _corpus(spark, d).tokens_at().select("token_id", "token", F.round("idf", 6).alias("idf"), (F.round(V.total(F.col("vec")), 6) + F.lit(0.0)).alias("total"))
+
+
+@query(f"WITH {sql.documents()} SELECT (SELECT count(*) FROM tok)::BIGINT AS docs, (SELECT count(*) FROM vocab)::BIGINT AS tokens, (SELECT count(*) FROM post)::BIGINT AS postings")
+def corpus_counts(spark, d):
+    c = _corpus(spark, d)
+    return spark.createDataFrame([(c.n_docs, c.n_tokens)], "docs long, tokens long").crossJoin(c.postings.agg(F.count("*").alias("postings")))
+
+
+def _labelled(spark: SparkSession, d: str) -> corpus.Corpus:
+    """The documents' corpus, with their sources as labels."""
+    key = (spark.sparkContext.applicationId, d, "labelled")
+    if key not in _BUILT:
+        docs = spread(table(spark, d, "documents").select("doc_id", "text", F.coalesce("source", F.lit("none")).alias("label")), "doc_id")
+        _BUILT[key] = corpus.CorpusBuilder(spark, EngineConfig.of(DIM, abbrev=False)).add_texts(docs).finalize(DigestVectors(DIM))
+    return _BUILT[key]
+
+
+@query(f"WITH {sql.documents()} SELECT doc_id, coalesce(source, 'none') AS label FROM tok JOIN documents USING (doc_id)")
+def document_labels(spark, d):
+    c = _labelled(spark, d)
+    return c.label(c.doc_vectors.select("doc_id"))
+
+
+@query("SELECT 0::BIGINT AS faults, true AS valid")
+def content_checks(spark, d):
+    """A saved corpus is read with all checks; a fault would be counted."""
+    import uuid
+
+    from semaloom.runtime import checkpoint_dir
+    from semaloom.sources import store
+
+    folder = f"{checkpoint_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    store.save(_labelled(spark, d), folder)
+    try:
+        store.load(spark, folder, check=True)
+        faults = 0
+    except store.CorpusFormatError:
+        faults = 1
+    return spark.createDataFrame([(faults, faults == 0)], "faults long, valid boolean")
+
+
+@query(f"{_CHAIN}, best AS ({sql.ranked('score', TOP)}) SELECT query_id || ' ' || rank || ' ' || doc_id || ' ' || format('{{:.6f}}', score) AS line FROM best")
+def dump_ranking(spark, d):
+    """The lines of a dumped ranking, read again."""
+    import uuid
+
+    from semaloom.runtime import checkpoint_dir
+    from semaloom.sources import store
+
+    folder = f"{checkpoint_dir(spark)}/dump-{uuid.uuid4().hex}"
+    store.dump(_result(search.search(_corpus(spark, d), _asked(spark, d), TOP, Mode.BRUTE)), folder)
+    return spark.read.text(folder).withColumnRenamed("value", "line")
+
+
+@query("SELECT item_id::BIGINT AS doc_id, 'benchmark/' || item_id AS label, text FROM benchmark")
+def jsonl_documents(spark, d):
+    """The benchmark's passages by way of JSON lines."""
+    import uuid
+
+    from semaloom.runtime import checkpoint_dir
+    from semaloom.sources import files
+
+    folder = f"{checkpoint_dir(spark)}/jsonl-{uuid.uuid4().hex}"
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.concat(F.lit("benchmark/"), F.col("item_id")).alias("path"), "text")
+    rows.write.json(folder)
+    return files.jsonl(spark, folder)
 
 
 @query()
@@ -512,7 +623,7 @@ def pca_project(spark, d):
     return projected.select("vec_id", *[F.round(F.abs(F.col("v")[i]), 6).alias(f"x{i}") for i in range(4)])
 
 
-@query()
+@query("SELECT 0::BIGINT AS differences")
 def save_load_roundtrip(spark, d):
     import uuid
 

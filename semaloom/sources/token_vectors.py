@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 
 from semaloom.config import EPSILON, INT8, SUBWORD_LENGTH, SUBWORD_PIECES
 
-#: A vocabulary of up to so many tokens is broadcast for composing unknown tokens (at most 24 bytes a token and dim bytes a vector).
-MOST_BROADCAST = 200_000
-
-
 class DigestVectors:
     """A deterministic stand-in for trained vectors: component d of a token is a digest of ``token:d``, in -127..127."""
 
@@ -43,9 +39,7 @@ class TableVectors:
         known = vocab.select("token").join(scaled, "token", "left")
         if not self.compose:
             return known.select("token", F.coalesce("_vec", zeros).alias("vec"))
-        if self.table.count() > MOST_BROADCAST:
-            raise ValueError(f"composing unknown tokens takes a table of at most {MOST_BROADCAST} tokens")
-        pieces = decompose(known.filter("_vec is null").select("token"), [r[0] for r in self.table.select("token").collect()])
+        pieces = decompose(known.filter("_vec is null").select("token"), self.table.select("token"))
         at = pieces.select("token", F.posexplode("pieces").alias("n", "piece")).join(scaled.withColumnRenamed("token", "piece"), "piece")
         spread = at.select("token", F.posexplode("_vec").alias("d", "x")).groupBy("token", "d").agg(F.sum("x").alias("x"))
         sums = spread.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda e: e["x"]).alias("_sum"))
@@ -54,8 +48,12 @@ class TableVectors:
         return known.join(composed, "token", "left").select("token", F.coalesce("_vec", "_composed", zeros).alias("vec"))
 
 
-def decompose(tokens: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(token, pieces): longest pieces of the vocabulary from left to right, at most 8 of at most 24 characters; others are skipped."""
+def decompose(tokens: DataFrame, vocabulary: DataFrame | list[str]) -> DataFrame:
+    """(token, pieces): longest pieces of the vocabulary from left to right, at most 8 of at most 24 characters; others are skipped.
+
+    A token's own substrings, at most 24 for each of its characters, are joined with the vocabulary,
+    so no task holds it, whatever its size. A null token has no pieces.
+    """
 
     def split(token: str, known: frozenset[str]) -> list[str]:
         out: list[str] = []
@@ -67,14 +65,22 @@ def decompose(tokens: DataFrame, vocabulary: list[str]) -> DataFrame:
             at += len(piece) if piece else 1
         return out
 
-    shared = tokens.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
+    spark = tokens.sparkSession
+    if isinstance(vocabulary, list):
+        vocabulary = spark.createDataFrame([(t,) for t in vocabulary], "token string")
+    asked = tokens.select("token").distinct()
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("token")))
+    at = asked.filter("token is not null").withColumn("_at", F.explode(starts))
+    at = at.withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.lit(SUBWORD_LENGTH), F.greatest(F.lit(1), F.length("token") - F.col("_at") + 1)))))
+    parts = at.select("token", F.expr("substring(token, _at, _n)").alias("_piece")).distinct()
+    known = parts.join(vocabulary.select(F.col("token").alias("_piece")).distinct(), "_piece").groupBy("token").agg(F.collect_set("_piece").alias("_known"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces = [split(t or "", shared.value) for t in batch.column(0).to_pylist()]
+            pieces = [split(t or "", frozenset(k or ())) for t, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.list_(pa.string()))], names=["token", "pieces"])
 
-    return tokens.select("token").mapInArrow(work, "token string, pieces array<string>")
+    return tokens.select("token").join(known, "token", "left").select("token", "_known").mapInArrow(work, "token string, pieces array<string>")
 
 
 def read_blob(spark: SparkSession, raw: bytes, tokens: list[str], dim: int) -> DataFrame:
