@@ -378,3 +378,20 @@ def near_duplicates(table: DataFrame, key: str, vector: str, least: float) -> Da
 
 def op3_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 0.9)
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), u AS MATERIALIZED (
+  SELECT vec_id, len(e) AS dim, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS e FROM v
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.dim = b.dim AND a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT vec_id AS id, vec_id AS far FROM embeddings WHERE vec_id IS NOT NULL UNION SELECT id, b FROM reach JOIN links ON a = far
+), counts AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a), least AS (SELECT id, min(far) AS component FROM reach GROUP BY id)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component::BIGINT AS component_id, vec_id = component AS kept
+FROM embeddings JOIN least ON least.id = vec_id LEFT JOIN counts ON counts.id = vec_id
+"""

@@ -18,6 +18,9 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_balltree_topk": topk.OP2_SQL,
+    "op3_hnsw_near_dedup": neardup.OP3_SQL,
+    "op4_fm_substring_dedup": substring.OP4_SQL,
     "op6_pareto_mixing": mixing.OP6_SQL,
     "op7_url_filter": url_filter.OP7_SQL,
+    "op9_jaccard_join": jaccard.OP9_SQL,
 }

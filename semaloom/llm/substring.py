@@ -492,3 +492,22 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 def op4_fm_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP4_SQL = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), pos AS (
+  SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d
+), windows AS MATERIALIZED (
+  SELECT doc_id, i, md5(array_to_string(w[i + 1 : i + 50], ' ')) AS name FROM (SELECT doc_id, w, unnest(range(len(w) - 49)) AS i FROM d WHERE len(w) >= 50)
+), again AS (
+  SELECT doc_id, i FROM windows JOIN (SELECT name, min(doc_id) AS least FROM windows GROUP BY name) USING (name) WHERE least < doc_id
+), judged AS (
+  SELECT pos.doc_id, pos.i, word, max((again.i IS NOT NULL)::INT) OVER (PARTITION BY pos.doc_id ORDER BY pos.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM pos LEFT JOIN again ON again.doc_id = pos.doc_id AND again.i = pos.i
+), summed AS (
+  SELECT doc_id, sum(gone)::BIGINT AS n, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM judged GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN summed USING (doc_id)
+"""
