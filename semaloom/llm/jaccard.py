@@ -59,6 +59,8 @@ ROUNDS, TRIES = 1, 2
 BLOCK = 128
 #: Sets that share a key at most before its run is dealt out in pieces.
 HEAVY = 100_000
+#: Parts that the members of a component are dealt to when they get its smallest document.
+SALTS = 16
 
 _EDGES = [8**i for i in range(15)]
 #: Size classes grow by this factor, up to 255; linked sets are at most so many classes apart.
@@ -533,9 +535,11 @@ def _by_row(docs: DataFrame, key: str, text: str, n: int) -> tuple[DataFrame, in
         links = links.unionByName(check.linked(rest))
         seen = seen.unionByName(rest)
         joined = components(links)
-    groups = classes.select("set").join(joined.select(F.col("id").alias("set"), "component"), "set", "left").select("set", F.coalesce("component", "set").alias("component"))
-    least = classes.join(groups, "set").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_set = groups.join(least, "component").select("set", "component", "component_id")
+    members = classes.select("set", "doc_id").join(joined.select(F.col("id").alias("set"), "component"), "set")
+    least = members.groupBy("component").agg(F.min("doc_id").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = members.withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(SALTS))).join(least, ["component", "salt"]).select("set", "component", "component_id")
+    # kept, so that the join below has plain shuffles on both sides and a set of very many copies can be split
+    by_set = cut(classes.select("set", "doc_id").join(linked, "set", "left").select("set", F.coalesce("component", "set").alias("component"), F.coalesce("component_id", "doc_id").alias("component_id")), small=True)
     rows = feats.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("set")).alias("set"))
     return rows.join(by_set, "set", "left").select(
         "doc_id", "n_shingles", "set", "component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
