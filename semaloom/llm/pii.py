@@ -5,7 +5,7 @@ overlapping, spans: shorter readings of what a greedy pattern ran together, numb
 plus sign, spelled-out addresses. Boosted trees judge every candidate by format and context.
 They learn from the corpus itself: candidates that are base matches are positive, and so are the
 same data written in other ways (spelled out, regrouped, with another number beside them), which no
-base pattern accepts; spoilt copies, numbers in the middle of number tables and candidates that no
+base pattern accepts; spoilt copies, prose with an "at" and a "dot", numbers within number tables and candidates that no
 validator accepts are negative. Spans inside a failed base match, and spans that a validator accepts
 in another form than the base pattern's, are left out, because they are what the model is to decide. Thresholds are calibrated per kind on a part that the trees have not
 seen. Spans are judged whole, whatever their length.
@@ -151,6 +151,14 @@ class Cover:
 _HINTS = re.compile(r"mail|phone|tel|call|fax|mobile|card|visa|credit|ip|address|contact", re.I)
 
 
+#: Usual ends of domains that are not words as well.
+_ENDING = re.compile(r"[ .)\]](?:com|org|net|edu|gov|info|biz|dev|io|de|fr|uk|nl|ch|eu|us|ca|au|jp|cn|br|ru|pl|se|dk|es)\Z", re.I)
+#: Prose that reads like a spelled-out address.
+_PROSE = ("look at the dot on", "meet at noon dot then", "point at this dot in", "stop at each dot you", "laugh at every dot and", "stay at home dot we")
+#: Groups of four digits, as in a number table.
+_TABLE_BEFORE, _TABLE_AFTER = re.compile(r"(?:(?<![0-9])[0-9]{4} ){2}\Z"), re.compile(r"(?: [0-9]{4}(?![0-9])){2}")
+
+
 def _class(c: str) -> int:
     return 0 if not c else 1 if c.isspace() else 2 if c.isalpha() else 3 if c.isdigit() else 4 if c in ".,;:!?)('\"" else 5
 
@@ -166,7 +174,8 @@ def describe(kind: int, text: str, before: str, after: str) -> list[float]:
         float(text[:1] == "+"), float("(" in text and ")" in text), float(len(digits) > 1 and luhn(digits)),
         float(bool(parts) and all(p.isdigit() and int(p[-4:]) <= 255 for p in parts)), float(digits[:1] or -1), float("@" in text),
         _class(before[-1:]), _class(after[:1]), float(bool(re.search(r"[0-9]\.$|[+.-]$", before))), float(bool(re.match(r"[.-][0-9]|[%€$]", after))), float(bool(_HINTS.search(before))),
-        len(_digits(before[-12:])), len(_digits(after[:12])),
+        len(_digits(before[-12:])), len(_digits(after[:12])), float(bool(_TABLE_BEFORE.search(before) or _TABLE_AFTER.match(after))),
+        float(kind == 0 and bool(_ENDING.search(text))),
     ]
 
 
@@ -318,9 +327,14 @@ def learn(docs: DataFrame, text: str = "text", most: int = MOST_CANDIDATES) -> B
             if other:
                 x += [describe(kind, other, *sides), describe(kind, other, *near)]
                 y += [1.0, 1.0]
+            if kind == 0:
+                x.append(describe(kind, _PROSE[turn % len(_PROSE)], *sides))
+                y.append(0.0)
             if kind in (2, 3):
-                x += [describe(kind, r["span"], *near), describe(kind, r["span"], *also), describe(kind, other or r["span"], *table)]
-                y += [1.0, 1.0, 0.0]
+                x += [describe(kind, r["span"], *near), describe(kind, r["span"], *also)]
+                y += [1.0, 1.0]
+                x += [describe(kind, other or r["span"], *ends) for ends in (table, (table[0], sides[1]), (sides[0], table[1]))]
+                y += [0.0, 0.0, 0.0]
             for k in (turn, turn + 1):
                 x.append(describe(kind, _spoil(kind, r["span"], k), *sides))
                 y.append(0.0)
