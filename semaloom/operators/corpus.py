@@ -25,8 +25,12 @@ class CorpusStateError(RuntimeError):
 
 
 def accepted(docs: DataFrame, most: int = MAX_TOKENS) -> DataFrame:
-    """Documents of 1 to ``most`` tokens; null tokens keep their places."""
-    return docs.filter(F.size("tokens").between(1, most))
+    """Documents of 1 to ``most`` tokens; null tokens keep their places.
+
+    The generator of one row keeps the optimizer from moving the filter below the projection that
+    makes the tokens, where texts would be tokenized once for each bound and again for the result.
+    """
+    return docs.withColumn("tokens", F.explode(F.array("tokens"))).filter(F.size("tokens").between(1, most))
 
 
 def doc_map(docs: DataFrame, order: str = "doc_id", most: int = MAX_TOKENS, max_docs: int | None = None) -> DataFrame:
