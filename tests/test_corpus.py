@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from semaloom.config import EngineConfig, Mode
+from semaloom.functions.text import tokenize
 from semaloom.operators import corpus as C
 from semaloom.operators import search as S
 from semaloom.sources.token_vectors import DigestVectors, Projected, TableVectors, decompose, fit_pca, read_blob
@@ -79,6 +80,19 @@ def test_rejects(spark):
         c.check(EngineConfig.of(16, idf=False))
 
 
+def test_texts_are_tokenized_once(spark):
+    texts = ask(spark, ["", "one", None, "two words", "a"]).select(F.col("query_id").alias("doc_id"), "text")
+    docs = C.accepted(texts.withColumn("tokens", tokenize(F.col("text"), False)))
+    assert docs.columns == ["doc_id", "text", "tokens"]
+    assert {r["doc_id"]: r["tokens"] for r in docs.collect()} == {1: ["one"], 3: ["two", "words"]}
+    assert docs._jdf.queryExecution().optimizedPlan().toString().count("substring_index") == 1
+
+
+def test_accepted_keeps_null_tokens_and_drops_null_lists(spark):
+    rows = spark.createDataFrame([(1, ["a", None]), (2, None), (3, []), (4, [None] * 3)], "doc_id long, tokens array<string>")
+    assert sorted(r["doc_id"] for r in C.accepted(rows, 2).collect()) == [1]
+
+
 def test_empty_and_single(spark):
     empty = C.CorpusBuilder(spark, EngineConfig.of(16)).finalize(DigestVectors(16))
     assert empty.n_docs == 0 and S.search(empty, ask(spark, ["x y"]), 3).count() == 0
