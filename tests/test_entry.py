@@ -33,6 +33,12 @@ def test_enrichment_of_documents(spark, sf_dir, name):
     test_oracle(spark, sf_dir, name)
 
 
+def test_first_pass_over_documents_makes_no_pairs(spark, sf_dir):
+    """No generator makes a row for each pair of neighbours, and no join looks their vectors up row by row."""
+    plan = entry.queries()["rri_pass1_documents"](spark, sf_dir)._jdf.queryExecution().toString()
+    assert "inline" not in plan and "Join" not in plan
+
+
 def test_describe_functions_has_all_documents(spark, sf_dir):
     """Against the documents' own tokens, counted without Spark."""
     con = duckdb.connect()
