@@ -5,7 +5,7 @@ A builder collects documents; ``finalize`` turns them into tables that stay as t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from semaloom.config import MAX_TOKENS, EngineConfig
 from semaloom.functions.text import tokenize
 from semaloom.operators import cooccurrence, dense
+from semaloom.operators.packed import Packed
 from semaloom.runtime import cut
 
 
@@ -59,7 +60,10 @@ def postings_of(docs: DataFrame) -> DataFrame:
 
 def vocab_of(postings: DataFrame, n_docs: int) -> DataFrame:
     """(token, df, idf) with idf = ln(N / df)."""
-    counts = postings.groupBy("token").agg(F.count("*").alias("df"))
+    return with_idf(postings.groupBy("token").agg(F.count("*").alias("df")), n_docs)
+
+
+def with_idf(counts: DataFrame, n_docs: int) -> DataFrame:
     return counts.withColumn("idf", F.log(F.lit(float(n_docs)) / F.col("df")) if n_docs else F.lit(0.0))
 
 
@@ -73,20 +77,36 @@ def first_seen(docs: DataFrame) -> DataFrame:
     return ranged.join(F.broadcast(offsets), "_p").select("token", (F.row_number().over(within) - 1 + F.col("_base")).cast("long").alias("token_id"))
 
 
+class Later:
+    """A table that is made when it is first asked for, and kept in the shared checkpoint folder then."""
+
+    def __init__(self, make: Callable[[], DataFrame]):
+        self.make, self.made = make, None
+
+    def __call__(self) -> DataFrame:
+        if self.made is None:
+            self.made = cut(self.make())
+        return self.made
+
+
 @dataclass(frozen=True)
 class Corpus:
-    """The tables of a finished corpus."""
+    """The tables of a finished corpus; those of the index may be made ``Later``."""
 
     config: EngineConfig
     n_docs: int
     vocab: DataFrame
-    postings: DataFrame | None
+    postings: DataFrame | Later | None
     enriched: DataFrame
     doc_vectors: DataFrame
     doc_mean: np.ndarray | None
     labels: DataFrame | None = None
     #: (doc_id, terms, q, inv_mag): the index by document, for scoring where the documents lie.
-    forward: DataFrame | None = None
+    forward: DataFrame | Later | None = None
+
+    def __getattribute__(self, name: str):
+        got = object.__getattribute__(self, name)
+        return got() if isinstance(got, Later) else got
 
     @property
     def spark(self) -> SparkSession:
@@ -166,28 +186,29 @@ class CorpusBuilder:
             raise CorpusStateError(f"vectors have {provider.dim} dimensions, the corpus {config.dim}")
         empty = self._docs is None
         docs = self.spark.createDataFrame([], "doc_id long, tokens array<string>, label string") if empty else self._docs
-        docs = cut(docs)
-        n = docs.count()
+        held = Packed(docs)
+        n = held.count()
         if config.max_docs is not None and n > config.max_docs:
             raise CorpusStateError(f"{n} documents are more than {config.max_docs}")
-        labelled = docs.filter("label is not null").count()
+        labelled = held.labels().count()
         if labelled not in (0, n):
             raise CorpusStateError("either all documents have labels or none has")
-        postings = cut(postings_of(docs))
-        vocab = cut(vocab_of(postings, n))
+        vocab = cut(with_idf(held.tokens(), n))
         sources = provider.vectors(vocab)
-        enriched = cut(cooccurrence.enrich(docs, sources, config.dim) if config.ri else token_vectors(sources, config.dim))
+        enriched = cut(cooccurrence.enrich(held, sources, config.dim) if config.ri else token_vectors(sources, config.dim))
+        postings = Later(lambda: postings_of(held.docs()))
         if vocab.count() * config.dim <= GATHER_BYTES:
-            units = gathered(docs, vocab, enriched, config)
+            units = gathered(held, vocab, enriched, config)
         else:
-            units = summed(postings, vocab, enriched, docs.select("doc_id"), config)
+            units = summed(postings(), vocab, enriched, held.docs().select("doc_id"), config)
         vectors, mean = doc_vectors(units, n, config)
-        self._corpus = Corpus(config, n, vocab, postings if config.index else None, enriched, vectors, mean, docs.select("doc_id", "label") if labelled else None)
+        corpus = Corpus(config, n, vocab, None, enriched, vectors, mean, held.labels() if labelled else None)
         if config.sparse_nnz:
-            self._corpus = sparse(self._corpus)
+            corpus = sparse(corpus)
         if config.index:
-            terms = docs.select("doc_id", F.array_distinct(F.filter("tokens", lambda t: t.isNotNull())).alias("terms"))
-            self._corpus = replace(self._corpus, forward=cut(terms.join(self._corpus.doc_vectors, "doc_id")))
+            terms = held.docs().select("doc_id", F.array_distinct(F.filter("tokens", lambda t: t.isNotNull())).alias("terms"))
+            corpus = replace(corpus, postings=postings, forward=Later(lambda scored=corpus.doc_vectors: terms.join(scored, "doc_id")))
+        self._corpus = corpus
         return self._corpus
 
 
@@ -202,31 +223,30 @@ GATHER_BYTES = 192 << 20
 GATHER_TOKENS = 16384
 
 
-def gathered(docs: DataFrame, vocab: DataFrame, enriched: DataFrame, config: EngineConfig) -> DataFrame:
-    """(doc_id, vec): IDF-weighted sums over occurrences, made unit. Every task looks its tokens up; nothing is shuffled."""
+def gathered(docs: Packed, vocab: DataFrame, enriched: DataFrame, config: EngineConfig) -> DataFrame:
+    """(doc_id, vec): IDF-weighted sums over occurrences, made unit. Every task looks its blocks' tokens up; nothing is shuffled."""
     dim = config.dim
     got = vocab.join(enriched, "token").select("token", "idf", "q").toArrow()
     idf = got.column("idf").to_numpy() if config.idf else np.ones(got.num_rows)
-    shared = docs.sparkSession.sparkContext.broadcast((got.column("token").combine_chunks(), idf / 127.0, dense.matrix(got.column("q").combine_chunks(), dim, np.int8)))
+    shared = vocab.sparkSession.sparkContext.broadcast((got.column("token").combine_chunks(), idf / 127.0, dense.matrix(got.column("q").combine_chunks(), dim, np.int8)))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(ids: pa.Array, n: np.ndarray, codes: np.ndarray, tokens: pa.Array) -> Iterator[pa.RecordBatch]:
         known, weight, q = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column(1)
-            place = pc.index_in(lists.flatten(), value_set=known)
-            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-            some = place.is_valid().to_numpy(zero_copy_only=False)
-            place, row = place.drop_null().to_numpy(), row[some]
-            sums = np.zeros((batch.num_rows, dim))
+        places = np.concatenate((pc.index_in(tokens, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False), [-1]))
+        ends = np.concatenate(([0], np.cumsum(n)))
+        for lo in range(0, len(ids), 2048):
+            some = n[lo : lo + 2048]
+            place = places[codes[ends[lo] : ends[lo + len(some)]]]  # code -1 is the last place
+            row = np.repeat(np.arange(len(some)), some)[place >= 0]
+            place = place[place >= 0]
+            sums = np.zeros((len(some), dim))
             for at in range(0, len(place), GATHER_TOKENS):
                 p, r = place[at : at + GATHER_TOKENS], row[at : at + GATHER_TOKENS]
                 first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
                 sums[r[first]] += np.add.reduceat(q[p] * weight[p, None], first)
-            yield pa.RecordBatch.from_arrays([batch.column(0), dense.lists(dense.unit(sums))], names=["doc_id", "vec"])
+            yield pa.RecordBatch.from_arrays([ids[lo : lo + 2048], dense.lists(dense.unit(sums))], names=["doc_id", "vec"])
 
-    return cut(docs.select("doc_id", "tokens").mapInArrow(work, f"doc_id {dict(docs.dtypes)['doc_id']}, vec array<double>"))
+    return cut(docs.map_blocks(work, f"doc_id {docs.id_type}, vec array<double>"))
 
 
 def summed(postings: DataFrame, vocab: DataFrame, enriched: DataFrame, ids: DataFrame, config: EngineConfig) -> DataFrame:

@@ -96,3 +96,22 @@ def test_passes_keep_no_row_for_a_pair(spark):
 
     assert cooccurrence.enrich(held, DigestVectors(8).vectors(held.tokens()), 8).count() == 4000
     assert _bytes(checkpoint_dir(spark)) - before < 20 * 300 * 300
+
+
+def test_search_makes_no_index_it_does_not_need(spark, blocks):
+    """An exhaustive search over an enriched corpus keeps neither postings nor terms; the index is made when asked for."""
+    from semaloom.config import EngineConfig, Mode
+    from semaloom.operators import corpus, search
+    from semaloom.sources.token_vectors import DigestVectors
+
+    rows = [(k, [t for t in ts if t != ""], f"f{k}") for k, ts in _docs() if ts]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>, label string").repartition(3)
+    built = corpus.CorpusBuilder(spark, EngineConfig.of(8, ri=True, abbrev=False)).add_tokens(docs).finalize(DigestVectors(8))
+    asked = spark.createDataFrame([(1, ["w1", "w2", "é"]), (2, ["alone"])], "query_id long, tokens array<string>")
+    brute = search.search(built, asked, 3, Mode.BRUTE).collect()
+    later = [object.__getattribute__(built, name) for name in ("postings", "forward")]
+    assert len(brute) == 6 and all(isinstance(x, corpus.Later) and x.made is None for x in later)
+    want = Counter((t, k) for k, ts, _ in rows for t in ts if t is not None)
+    assert {(r["token"], r["doc_id"]): r["tf"] for r in built.postings.collect()} == want
+    assert {r["doc_id"]: r["terms"] for r in built.forward.collect()} == {k: list(dict.fromkeys(t for t in ts if t is not None)) for k, ts, _ in rows}
+    assert all(x.made is not None for x in later) and {r["doc_id"]: r["label"] for r in built.labels.collect()} == {k: label for k, _, label in rows}
