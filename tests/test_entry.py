@@ -39,6 +39,16 @@ def test_first_pass_over_documents_makes_no_pairs(spark, sf_dir):
     assert "inline" not in plan and "Join" not in plan
 
 
+def test_first_pass_over_documents_tokenizes_where_it_packs(spark, sf_dir, monkeypatch):
+    """No expression takes a text to pieces: the patterns were two thirds of the query's time."""
+    from semaloom.operators import packed
+
+    plans, cut = [], packed.cut
+    monkeypatch.setattr(packed, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or cut(df))
+    entry.queries()["rri_pass1_documents"](spark, sf_dir)
+    assert plans and not any("regexp_replace" in p or "split(" in p for p in plans)
+
+
 def test_describe_functions_has_all_documents(spark, sf_dir):
     """Against the documents' own tokens, counted without Spark."""
     con = duckdb.connect()

@@ -80,6 +80,18 @@ def test_tokens_and_count(spark, blocks):
     assert none.count() == 0 and none.tokens().count() == 0
 
 
+def test_texts_are_packed_as_their_tokens(spark, blocks):
+    from semaloom.functions.text import tokenize
+    from semaloom.operators.corpus import accepted
+
+    texts = [(k, " ".join(t or "Ab.cD" for t in ts)) for k, ts in _docs()] + [(90, None), (91, "é a"), (92, "tok " * 600)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    want = {r["doc_id"]: r["tokens"] for r in accepted(docs.select("doc_id", tokenize(F.col("text"), False).alias("tokens"))).collect()}
+    held = packed.Packed(docs)
+    assert {r["doc_id"]: r["tokens"] for r in held.docs().collect()} == want and held.count() == len(want) > 40
+    assert {r["token"]: r["df"] for r in held.tokens().collect()} == Counter(t for ts in want.values() for t in set(ts))
+
+
 def _bytes(path):
     path = path.removeprefix("file:")
     return sum(os.path.getsize(os.path.join(folder, f)) for folder, _, files in os.walk(path) for f in files)

@@ -39,6 +39,26 @@ def test_tokens(spark):
     assert tokens(spark, [None]) == [[]]
 
 
+def test_tokens_of_arrow_columns(spark, monkeypatch):
+    """The same as the expression, also across the texts of a column, in slices and in pieces of a few bytes."""
+    import random
+
+    import pyarrow as pa
+
+    from semaloom.functions import text
+
+    r = random.Random(4)
+    signs = "aaabcABCD19" * 6 + text.DELIMITERS + "_. \0\x01\x0b\x7f\x80éßİK日😀\u2014\ufeff"
+    some = ["".join(r.choice(signs) for _ in range(r.randrange(90))) for _ in range(800)]
+    some += [*CASES, None, "", "A", "b", "X", "yz", "Ab" * 600, "tok " * 600, "\0" * 50, "x" * 5000 + " yy", None]
+    want = tokens(spark, some, abbrev=False)
+    assert text.tokens_of(pa.array(some)).to_pylist() == want
+    assert text.tokens_of(pa.array(some).slice(3, 700)).to_pylist() == want[3:703]
+    monkeypatch.setattr(text, "TEXT_BYTES", 100)
+    assert text.tokens_of(pa.array(some, pa.large_string())).to_pylist() == want
+    assert text.tokens_of(pa.array([None, ""], pa.string())).to_pylist() == [[], []] and len(text.tokens_of(pa.array([], pa.string()))) == 0
+
+
 def test_abbreviations(spark):
     assert tokens(spark, ["ctx", "errFn", "foobar", "sub", "mock"]) == [["ctx", "context"], ["err", "fn", "error", "function"], ["foobar"], ["sub"], ["mock", "mock"]]
     assert tokens(spark, ["db cb idx"])[0] == ["db", "cb", "idx", "database", "callback", "index"]
